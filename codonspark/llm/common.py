@@ -118,3 +118,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def to_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def fresh_name(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it (column names don't tell case apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from .packing import op9_packing
 from .simhash import op1_simhash
+from .substrings import op5_substrings
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_substrings": op5_substrings,
+    "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,
 }
 
