@@ -12,7 +12,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,33 +77,33 @@ def split_words(text: str | None) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
+class Remembered(dict):
+    """Values of a function of words, remembered for up to ``limit`` distinct words (then started anew)."""
+
+    def __init__(self, of, limit: int = 300_000) -> None:
+        self._of, self._limit = of, limit
+
+    def __missing__(self, word: str):
+        value = self[word] = self._of(word)
+        return value
+
+    def all(self, words: list[str]) -> list:
+        if len(self) > self._limit:
+            self.clear()
+        return [*map(self.__getitem__, words)]
+
+
 class WordHashes:
-    """64-bit XXH64 of words, remembered for up to ``limit`` distinct words (then started anew)."""
+    """64-bit XXH64 of words."""
 
-    def __init__(self, seed: int = 0, limit: int = 300_000) -> None:
+    def __init__(self, seed: int = 0) -> None:
         import xxhash
 
-        self._of, self._seed, self._limit, self._known = xxhash.xxh64_intdigest, seed, limit, {}
+        of = xxhash.xxh64_intdigest
+        self._known = Remembered(lambda w: of(w.encode("utf-8", "surrogatepass"), seed))
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        known, of, seed = self._known, self._of, self._seed
-        if len(known) > self._limit:
-            known.clear()
-        out = []
-        add = out.append
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = of(w.encode("utf-8", "surrogatepass"), seed)
-            add(h)
-        return np.array(out, dtype=np.uint64)
-
-
-def starts_of(lengths: np.ndarray) -> np.ndarray:
-    """Exclusive prefix sums with the total at the end."""
-    out = np.zeros(len(lengths) + 1, dtype=np.int64)
-    np.cumsum(lengths, out=out[1:])
-    return out
+        return np.array(self._known.all(words), dtype=np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -116,10 +115,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def to_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
-
-
 def fresh_name(name: str, columns: list[str]) -> str:
     """``name``, lengthened until no column has it (column names don't tell case apart)."""
     taken = {c.lower() for c in columns}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op2_decontamination
 from .packing import op9_packing
 from .simhash import op1_simhash
 from .substrings import op5_substrings
@@ -9,6 +10,7 @@ from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_decontamination": op2_decontamination,
     "op5_substrings": op5_substrings,
     "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,

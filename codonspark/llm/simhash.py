@@ -269,6 +269,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 2) -> DataFrame:
-    """``docs`` with one row of each component: the one whose id names it (the first seen, if ids repeat)."""
-    kept = simhash_components(docs, k).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component: the one whose id names it; rows without an id stay.
+
+    Of several rows with that id one stays.
+    """
+    kept = simhash_components(docs.where("doc_id is not null"), k).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
