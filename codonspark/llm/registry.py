@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op3_ann
 from .decontamination import op2_decontamination
 from .packing import op9_packing
 from .simhash import op1_simhash
@@ -11,6 +12,7 @@ from .toxicity import op6_toxicity
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
+    "op3_ann": op3_ann,
     "op5_substrings": op5_substrings,
     "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,
