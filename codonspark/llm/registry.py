@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .ann import op3_ann
 from .decontamination import op2_decontamination
+from .html_text import op4_html
+from .language import op8_language
 from .packing import op9_packing
 from .simhash import op1_simhash
 from .substrings import op5_substrings
@@ -13,8 +15,10 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
     "op3_ann": op3_ann,
+    "op4_html": op4_html,
     "op5_substrings": op5_substrings,
     "op6_toxicity": op6_toxicity,
+    "op8_language": op8_language,
     "op9_packing": op9_packing,
 }
 
