@@ -6,7 +6,9 @@ from .ann import op3_ann
 from .decontamination import op2_decontamination
 from .html_text import op4_html
 from .language import op8_language
+from .licenses import op10_licenses
 from .packing import op9_packing
+from .quality import op7_quality
 from .simhash import op1_simhash
 from .substrings import op5_substrings
 from .toxicity import op6_toxicity
@@ -18,8 +20,10 @@ QUERIES = {
     "op4_html": op4_html,
     "op5_substrings": op5_substrings,
     "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_packing": op9_packing,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}
