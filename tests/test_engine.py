@@ -53,7 +53,7 @@ def interpret(values):
         aa, q = x
         aa = dict(zip("BZJUO", "NQLCK")).get(aa, aa)
         start = qstart - 1 - 3 * q - 2 if minus else qstart - 1 + 3 * q
-        if start < 0 or start + 2 >= len(nt):
+        if qstart < 1 or start < 0 or start + 2 >= len(nt):
             continue
         codon = nt[start : start + 3]
         if minus:
