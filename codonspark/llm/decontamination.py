@@ -34,7 +34,7 @@ MAX_ITEM_DF = 0.1
 FEW_TERMS = 5
 MIN_COSINE = 0.6
 MIN_LCS = 0.6
-MIN_ANSWER = 0.6
+MIN_ANSWER = 0.5
 BLOCK_ITEMS = 1000
 
 #: ASCII marks and controls part terms, as white space does.
@@ -181,7 +181,7 @@ def _model(hits: DataFrame, words: list[tuple[int, list[bytes]]], vocabulary: di
         for k, t in enumerate(w):
             places[vocabulary[t]] = places.get(vocabulary[t], 0) | 1 << k
         rare = sorted(places, key=lambda t: (df[t], t))
-        entries.append((i, len(w), places, frozenset(rare[: max(1, len(rare) // 3)])))
+        entries.append((i, len(w), places, frozenset(rare[: max(3, len(rare) // 3)])))
     return {
         "vectors": (idf[:, None] * basis).astype(np.float32), "entries": entries,
         "items": (latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]).astype(np.float32),

@@ -1,3 +1,4 @@
+import bisect
 import random
 import zlib
 
@@ -17,6 +18,15 @@ def test_tokens_equal_the_library():
         assert ours.one(t) == np.array(ref.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def best_fit_decreasing(counts, capacity):
+    gaps = []
+    for n in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bisect.insort(gaps, gap - n)
+    return len(gaps)
+
+
 def test_plan_uses_every_piece_and_respects_capacity():
     rnd = random.Random(4)
     for capacity in (12, 64, 2048):
@@ -29,9 +39,7 @@ def test_plan_uses_every_piece_and_respects_capacity():
                 for n in lengths:
                     used[n] = used.get(n, 0) + number
             assert used == counts
-            least = -(-sum(n * c for n, c in counts.items()) // capacity)
-            bins = sum(n for n, _ in plan)
-            assert bins <= max(1.25 * least + 1, sum(c for n, c in counts.items() if 2 * n > capacity) + 1, 0.51 * sum(c for n, c in counts.items() if 3 * n > capacity) + 0.25 * least + 1)
+            assert sum(n for n, _ in plan) <= best_fit_decreasing(counts, capacity)
 
 
 def test_pieces_tile_documents_and_sequences(spark):
