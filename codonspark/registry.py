@@ -66,8 +66,12 @@ def _long(*names: str) -> list:
     return [F.col(n).cast("bigint").alias(n) for n in names]
 
 
-_MINUS = F.coalesce(F.substring("qstrand", 1, 1) == "-", F.lit(False))
-_SPAN = F.col("send") - F.col("sstart") + 1
+def _minus():
+    return F.coalesce(F.substring("qstrand", 1, 1) == "-", F.lit(False))
+
+
+def _span():
+    return F.col("send") - F.col("sstart") + 1
 
 
 # ---------------------------------------------------------------- sources, parsing, filters
@@ -189,13 +193,13 @@ def evalue_codec(spark, sf_dir):
 # ---------------------------------------------------------------- CIGAR and codons
 @query(sql.observed("select cigar, span, cast(h as bigint) as h, cast(q as bigint) as q, cast(least(n, span - h) as bigint) as n from (select distinct cigar, span, h, q, n from segs join valid using (rid) where op = 'M' and h < span)"))
 def cigar_segments(spark, sf_dir):
-    rows = _valid(spark, sf_dir).select("cigar", _SPAN.alias("span")).distinct()
+    rows = _valid(spark, sf_dir).select("cigar", _span().alias("span")).distinct()
     return rows.select("cigar", "span", F.explode(cigar.match_segments(F.col("cigar"), F.col("span"))).alias("s")).select("cigar", "span", "s.h", "s.q", "s.n")
 
 
 @query(sql.observed("select distinct cigar, span, off, q from places join (select rid, cigar, span from valid) using (rid) where off < span"))
 def cigar_expand(spark, sf_dir):
-    rows = _valid(spark, sf_dir).select("cigar", _SPAN.alias("span")).distinct()
+    rows = _valid(spark, sf_dir).select("cigar", _span().alias("span")).distinct()
     segs = rows.select("cigar", "span", F.explode(cigar.match_segments(F.col("cigar"), F.col("span"))).alias("s"))
     return segs.select("cigar", "span", "s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s.n") - 1)).alias("k")).select(
         "cigar", "span", (F.col("s.h") + F.col("k")).alias("off"), (F.col("s.q") + F.col("k")).alias("q")
@@ -203,8 +207,8 @@ def cigar_expand(spark, sf_dir):
 
 
 def _cut(spark, sf_dir, strand: bool) -> DataFrame:
-    rows = _valid(spark, sf_dir).where(_MINUS == strand)
-    segs = rows.select("qseqid", "qseq_translated", "full_qseq", "qstart", F.explode(cigar.match_segments(F.col("cigar"), _SPAN)).alias("s"))
+    rows = _valid(spark, sf_dir).where(_minus() == strand)
+    segs = rows.select("qseqid", "qseq_translated", "full_qseq", "qstart", F.explode(cigar.match_segments(F.col("cigar"), _span())).alias("s"))
     each = segs.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s.n") - 1)).alias("k"))
     codon = cigar.codon_at(F.col("full_qseq"), F.col("qstart"), F.lit(strand), F.col("s.q") + F.col("k"))
     return each.select("qseqid", (F.col("s.h") + F.col("k")).alias("off"), codon.alias("codon"))
@@ -227,7 +231,7 @@ def acgt_reject(spark, sf_dir):
 
 @query(sql.observed("select shard_id, cast(sum(span) - sum(coalesce(n_obs, 0)) as bigint) as dropped from valid left join (select rid, count(*) as n_obs from obs group by rid) using (rid) group by all"))
 def round_trip_reject(spark, sf_dir):
-    return ingest.align(_parsed(spark, sf_dir), keep_empty=True).groupBy("shard_id").agg(F.sum(_SPAN - F.col("n_obs")).alias("dropped"))
+    return ingest.align(_parsed(spark, sf_dir), keep_empty=True).groupBy("shard_id").agg(F.sum(_span() - F.col("n_obs")).alias("dropped"))
 
 
 @query(sql.observed("select shard_id, count(*) as n from obs where off < 8 group by all"))
