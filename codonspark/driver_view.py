@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scalars import select_once
-
-GENETIC_CODE = "KNKNTTTTRSRSIIMIQHQHPPPPRRRRLLLLEDEDAAAAGGGGVVVV*Y*YSSSS*CWCLFLF"
+from .functions.scalars import GENETIC_CODE, select_once
 
 #: Steps of (name, expression); each step sees the names of those before it.
 STEPS = [
