@@ -234,24 +234,31 @@ def leaks_of(b: pa.RecordBatch, model: dict, min_cosine: float, min_lcs: float,
     best: dict[tuple[int, int], tuple] = {}
     if not len(half):
         return best
+    # content terms stand a few words apart: twice the size on each side and the window between
+    sizes = np.array([e[1] for e in model["entries"]])
     for windows, items in _candidates(half, ids, model, min_cosine):
-        for w, i in dict.fromkeys(zip(windows.tolist(), items.tolist(), strict=True)):
-            _, size, places, answer = model["entries"][i]
-            # content terms stand a few words apart: twice the size on each side and the window between
-            reach = 2 * size // HALF + 1
-            a, z = int(np.searchsorted(half, w - reach)), int(np.searchsorted(half, w + 2 + reach))
-            mid = min(int(np.searchsorted(half, w)), len(half) - 1)
-            r = int(row[mid])
-            part = ids[a:z].tolist()
-            kept = [k for k, t in enumerate(part) if t in places and row[a + k] == r]
-            if len(kept) < min_lcs * size:
-                continue
-            own = [part[k] for k in kept]
-            if len(answer.intersection(own)) < min_answer * len(answer):
-                continue
-            share = lcs_length(places, size, own) / size
-            if share >= min_lcs and share > best.get((r, i), (0.0,))[0]:
-                best[r, i] = (share, int(at[a + kept[0]]), int(at[a + kept[-1]]) + 1)
+        for low in range(0, len(windows), 20_000):
+            w, i = windows[low : low + 20_000], items[low : low + 20_000]
+            reach = 2 * sizes[i] // HALF + 1
+            begin, end = np.searchsorted(half, w - reach), np.searchsorted(half, w + 2 + reach)
+            # a stretch without enough of the item's terms can't cover it
+            size = end - begin
+            first = np.cumsum(size) - size
+            flat = np.arange(size.sum()) - np.repeat(first - begin, size)
+            own = np.add.reduceat(model["member"][np.repeat(i, size), ids[flat]].astype(np.int64), first)
+            own_row = row[np.searchsorted(half, w)]
+            for c in np.flatnonzero(own >= min_lcs * sizes[i]).tolist():
+                _, n, places, answer = model["entries"][i[c]]
+                r, at_ = int(own_row[c]), int(begin[c])
+                part = ids[at_ : end[c]].tolist()
+                kept = [k for k, t in enumerate(part) if t in places and row[at_ + k] == r]
+                terms = [part[k] for k in kept]
+                if len(kept) < min_lcs * n or len(answer.intersection(terms)) < min_answer * len(answer):
+                    continue
+                share = lcs_length(places, n, terms) / n
+                key = (r, int(i[c]))
+                if share >= min_lcs and share > best.get(key, (0.0,))[0]:
+                    best[key] = (share, int(at[at_ + kept[0]]), int(at[at_ + kept[-1]]) + 1)
     return best
 
 
