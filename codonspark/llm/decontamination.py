@@ -8,6 +8,9 @@
    The items are rows of A too, weighted to count as much as the documents, so that their directions are kept.
 3. Every window of every document and every item is a vector in that space; pairs with a cosine of ``min_cosine`` or
    more are candidates. Windows overlap by half, so any run of half a window lies in one.
+   The rank is fixed, so a cosine may miss what 4 accepts. For items of ``FEW_TERMS`` terms or more every window near
+   one of the item's seeds is a candidate too: a leak holds a share of the answer terms, hence one of so many of the
+   rarest that the others can't make up that share. No pair that 4 accepts is lost on these items.
 4. A candidate is a leak if the document near the window has a common subsequence of content terms with the item that
    covers ``min_lcs`` of it, and holds most of the item's answer terms (its rarest ones). Both allow paraphrase.
 
@@ -18,6 +21,7 @@ sent to the executors grows with it.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,7 +156,7 @@ def lcs_length(item: dict[int, int], size: int, terms: list[int]) -> int:
     return size - v.bit_count()
 
 
-def _model(hits: DataFrame, words: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], rank: int) -> dict:
+def _model(hits: DataFrame, words: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], rank: int, min_lcs: float, min_answer: float) -> dict:
     size = len(vocabulary)
     df = np.zeros(size + 1)
     for r in hits.mapInArrow(_df(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row a term
@@ -175,14 +179,22 @@ def _model(hits: DataFrame, words: list[tuple[int, list[bytes]]], vocabulary: di
     basis, _ = np.linalg.qr(total + max(np.linalg.norm(total) / np.linalg.norm(mine), 1.0) * mine)
     latent = own @ basis
     member = own > 0
-    entries = []
+    entries, seeds = [], []
     for i, w in words:
         places: dict[int, int] = {}
         for k, t in enumerate(w):
             places[vocabulary[t]] = places.get(vocabulary[t], 0) | 1 << k
         rare = sorted(places, key=lambda t: (df[t], t))
-        entries.append((i, len(w), places, frozenset(rare[: max(3, len(rare) // 3)])))
+        answer = rare[: max(3, len(rare) // 3)]
+        if len(w) >= FEW_TERMS:
+            least = math.ceil(min_answer * len(answer))
+            in_order = sorted((vocabulary[t] for t in w), key=lambda t: (df[t], t))
+            own_seeds = answer[: len(answer) - least + 1] if least > 0 else in_order[: len(w) - math.ceil(min_lcs * len(w)) + 1]
+            seeds += [(t, len(entries)) for t in set(own_seeds)]
+        entries.append((i, len(w), places, frozenset(answer)))
+    seeds = np.array(sorted(seeds), np.int64).reshape(-1, 2)
     return {
+        "seed_of": seeds[:, 1], "seed_at": np.searchsorted(seeds[:, 0], np.arange(size + 1)),
         "vectors": (idf[:, None] * basis).astype(np.float32), "entries": entries,
         "items": (latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]).astype(np.float32),
         "member": member, "need": np.clip(np.ceil(0.35 * np.array([len(w) for _, w in words])), 1, 4).astype(int),
@@ -228,6 +240,40 @@ def _candidates(half: np.ndarray, ids: np.ndarray, model: dict, min_cosine: floa
             yield w, i
 
 
+def _within(model: dict, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """How many of the hits from ``begin`` to ``end`` (none empty) are terms of item ``i``."""
+    size = end - begin
+    first = np.cumsum(size) - size
+    flat = np.arange(size.sum()) - np.repeat(first - begin, size)
+    return np.add.reduceat(model["member"][np.repeat(i, size), ids[flat]].astype(np.int64), first)
+
+
+def _near_seeds(half: np.ndarray, ids: np.ndarray, row: np.ndarray, model: dict, sizes: np.ndarray, min_lcs: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(first half-window, item, row) of all windows whose stretch holds a seed of the item and may hold enough of its terms."""
+    at, of = model["seed_at"], model["seed_of"]
+    hits = np.flatnonzero(at[ids + 1] > at[ids])
+    for low in range(0, len(hits), 20_000):
+        p = hits[low : low + 20_000]
+        many = at[ids[p] + 1] - at[ids[p]]
+        first = np.cumsum(many) - many
+        i = of[np.arange(many.sum()) - np.repeat(first - at[ids[p]], many)]
+        _, one = np.unique(np.repeat(half[p], many) * len(sizes) + i, return_index=True)
+        p, i = np.repeat(p, many)[one], i[one]
+        reach = 2 * sizes[i] // HALF + 1
+        begin, end = np.searchsorted(half, half[p] - 1 - 2 * reach), np.searchsorted(half, half[p] + 2 + 2 * reach)
+        keep = end - begin >= min_lcs * sizes[i]
+        for c in range(0, len(p), 20_000):  # all stretches with this seed together
+            k = np.flatnonzero(keep[c : c + 20_000]) + c
+            keep[k] = _within(model, ids, begin[k], end[k], i[k]) >= min_lcs * sizes[i[k]] if len(k) else False
+        p, i, reach = p[keep], i[keep], reach[keep]
+        many = 2 * reach + 2
+        first = np.cumsum(many) - many
+        w = np.arange(many.sum()) - np.repeat(first - (half[p] - 1 - reach), many)
+        each = np.c_[w, np.repeat(i, many), np.repeat(row[p], many)]
+        if len(each):
+            yield tuple(np.unique(each, axis=0).T)
+
+
 def leaks_of(b: pa.RecordBatch, model: dict, min_cosine: float, min_lcs: float, min_answer: float) -> dict[tuple[int, int], tuple]:
     """(row, item place) -> (coverage, start word, end word) of the best stretch."""
     half, ids, at, row = _joined(b)
@@ -236,17 +282,17 @@ def leaks_of(b: pa.RecordBatch, model: dict, min_cosine: float, min_lcs: float,
         return best
     # content terms stand a few words apart: twice the size on each side and the window between
     sizes = np.array([e[1] for e in model["entries"]])
-    for windows, items in _candidates(half, ids, model, min_cosine):
+    latent = ((w, i, row[np.searchsorted(half, w)]) for w, i in _candidates(half, ids, model, min_cosine))
+    for windows, items, rows in itertools.chain(latent, _near_seeds(half, ids, row, model, sizes, min_lcs)):
         for low in range(0, len(windows), 20_000):
-            w, i = windows[low : low + 20_000], items[low : low + 20_000]
+            w, i, own_row = (x[low : low + 20_000] for x in (windows, items, rows))
             reach = 2 * sizes[i] // HALF + 1
             begin, end = np.searchsorted(half, w - reach), np.searchsorted(half, w + 2 + reach)
             # a stretch without enough of the item's terms can't cover it
-            size = end - begin
-            first = np.cumsum(size) - size
-            flat = np.arange(size.sum()) - np.repeat(first - begin, size)
-            own = np.add.reduceat(model["member"][np.repeat(i, size), ids[flat]].astype(np.int64), first)
-            own_row = row[np.searchsorted(half, w)]
+            held = np.flatnonzero(end > begin)
+            own = np.zeros(len(w), np.int64)
+            if len(held):
+                own[held] = _within(model, ids, begin[held], end[held], i[held])
             for c in np.flatnonzero(own >= min_lcs * sizes[i]).tolist():
                 _, n, places, answer = model["entries"][i[c]]
                 r, at_ = int(own_row[c]), int(begin[c])
@@ -291,7 +337,7 @@ def find_leaks(
         if not vocabulary:
             continue
         hits = materialize(docs.select("doc_id", "text").mapInArrow(_hits(vocabulary), _HITS), "benchmark-hits")
-        sent = spark.sparkContext.broadcast(_model(hits, words, vocabulary, rank))
+        sent = spark.sparkContext.broadcast(_model(hits, words, vocabulary, rank, min_lcs, min_answer))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value

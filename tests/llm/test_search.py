@@ -75,6 +75,36 @@ def test_leaks_exact_and_paraphrased(spark):
     assert decontamination.find_leaks(table, bench.limit(0)).count() == 0 and decontamination.find_leaks(table.limit(0), bench).count() == 0
 
 
+def test_leaks_whatever_the_rank(spark):
+    rnd = random.Random(16)
+    content = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    items = [(i, " ".join(rnd.choices(content, k=rnd.randint(6, 30)))) for i in range(40)]
+    docs = []
+    for d in range(80):
+        words = rnd.choices(content, k=rnd.randint(0, 150))
+        own = [w if rnd.random() < 0.75 else rnd.choice(content) for w in items[d % 40][1].split()]
+        at = rnd.randint(0, len(words))
+        words[at:at] = own
+        docs.append((d, " ".join(words)))
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    half, want = decontamination.HALF, {}
+    for i, own in decontamination.content_terms(items, decontamination.MAX_ITEM_DF):
+        places = {}
+        for k, t in enumerate(own):
+            places[t] = places.get(t, 0) | 1 << k
+        reach = 2 * len(own) // half + 1
+        for d, text in docs:
+            terms = decontamination.terms_of(text)
+            stretches = (terms[max(0, half * (w - reach)) : half * (w + 2 + reach)] for w in range(-1, len(terms) // half + 1))
+            share = max(decontamination.lcs_length(places, len(own), s) for s in stretches) / len(own)
+            if share >= decontamination.MIN_LCS:
+                want[d, i] = share
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontamination.find_leaks(table, bench, rank=2, min_answer=0.0).collect()}
+    assert len(want) > 60 and got == want
+    pairs = lambda **x: {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(table, bench, **x).collect()}
+    assert pairs(rank=2) >= pairs(min_cosine=-1.0) and len(pairs(rank=2)) > 60
+
+
 def test_lcs_against_dynamic_programming():
     rnd = random.Random(8)
     for _ in range(200):
