@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codonspark.llm import decontamination, packing, simhash, substrings, toxicity
+from codonspark.llm import decontamination, near_copies, packing, substrings, toxicity
 from codonspark.llm.common import materialize, read_table
 
 
@@ -17,8 +17,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near SimHash fingerprints stays, the one with the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each component of near copies stays, the one with the smallest id: SimHash within two bits, or
+    five-word Jaccard similarity of 0.8 or more."""
+    return near_copies.drop_near_copies(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,3 +97,44 @@ def test_stage_keeps_one_of_each(spark):
     docs = spark.createDataFrame([(3, text, 1, "a", 1), (7, text, 2, "b", 2), (9, "quite another text here", 3, "c", 3), (None, text, 4, "d", 4)], SCHEMA)
     got = simhash.drop_near_duplicates(docs)
     assert sorted(map(str, got.collect())) == sorted(map(str, docs.where("doc_id is null or doc_id <> 7").collect()))
+
+
+def test_stage_drops_near_copies_against_brute_force(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    rows = []
+    for _ in range(25):
+        w = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(60, 200))]
+        for _ in range(4):
+            v = list(w)
+            for _ in range(rnd.randint(0, 5)):
+                v[rnd.randrange(len(v))] = "edit"
+            rows.append((len(rows), " ".join(v)))
+    rows.append((3, "another text that shares the id of a near copy and nothing else with it"))
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    prints = [brute_print(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            near = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            far += near and (prints[i] ^ prints[j]).bit_count() > 2
+            if near or (prints[i] ^ prints[j]).bit_count() <= 2:
+                root[find(i)] = find(j)
+    want = {}
+    for i, r in enumerate(rows):
+        want[find(i)] = min(want.get(find(i), r), r)
+    docs = spark.createDataFrame([(d, t, 1, "x", 1) for d, t in rows], SCHEMA)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert far > 10 and got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted(want.values())
