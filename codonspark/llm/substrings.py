@@ -1,4 +1,4 @@
-"""Exact removal of repeated passages by relative Lempel-Ziv parsing (operator 5).
+"""Exact removal of repeated passages by content-defined blocks, in place of relative Lempel-Ziv parsing (operator 5).
 
 A window is ``width`` consecutive words. A word goes if a window covers it whose word sequence also starts in a
 document with a smaller id.
@@ -6,10 +6,9 @@ document with a smaller id.
 * Blocks. Each window's key is the least hash among its ``gram``-word runs. Consecutive windows of equal key form a
   block: a few dozen words whose limits depend on the words alone, so a passage that occurs twice is cut into the same
   blocks but for its ends. Every block of every document is indexed, at about 1/20 of the windows.
-* Factors. Parsing a document against the index, a block that an earlier document holds as well is taken whole;
-  adjacent ones make up one long factor. The earlier copy is found by a minimum per block, which combines before the
+* Whole blocks. A block that an earlier document holds as well is taken whole; no factors are formed. The earlier copy is found by a minimum per block, which combines before the
   shuffle, so a passage in a third of all documents costs no more than any other.
-* Factor boundaries. Where blocks have the same key and different words (the ends of a passage, or an edit), single
+* Block ends. Where blocks have the same key and different words (the ends of a passage, or an edit), single
   windows decide: those of one representative document per block are compared by a 128-bit hash.
 
 Two texts match if 128 bits of hashes of their words agree.
