@@ -8,6 +8,7 @@ result.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,10 +25,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one where that is unset
-    (single-machine sessions such as tests)."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir``. Where that is unset a local session (tests) gets a
+    temporary one; on a cluster each executor would write to its own disk there, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="codonspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/codonspark-{spark.sparkContext.applicationId}"
@@ -43,23 +46,60 @@ def _remove_at_exit(spark: SparkSession, folder: str) -> None:
 
     def remove() -> None:
         try:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
         except Exception:  # the session has ended before the interpreter: nothing can be removed any more
             pass
 
     atexit.register(remove)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Shuffle files of a finished write go at once, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it as a table: cuts lineage."""
     spark = df.sparkSession
     folder = shared_dir(spark)
     _remove_at_exit(spark, folder)
     path = f"{folder}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._codonspark_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` made, once nothing that is still to run reads them."""
+    for table in tables:
+        _delete(table.sparkSession, table._codonspark_path)
+
+
+#: A key with more than this share of a table's rows is joined by broadcasting its other side.
+HOT_SHARE = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], total: int, n: str = "n") -> DataFrame:
+    """Inner join where ``right`` has one row per key, with the number ``n`` of the left rows of that key.
+
+    Keys with a thousandth of ``total`` (all rows that ``n`` counts) or more, so at most ``HOT_SHARE`` rows of
+    ``right``, are broadcast and their left rows stay where they are; the others are shuffled. ``left`` and ``right``
+    should be written tables: they are read more than once.
+    """
+    hot = (F.col(n) > 1) & (F.col(n) * HOT_SHARE >= total)
+    few, rest = F.broadcast(right.where(hot).drop(n)), right.where(~hot).drop(n)
+    return left.join(few, on).unionByName(left.join(few.select(*on), on, "left_anti").join(rest, on))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -78,19 +118,31 @@ def split_words(text: str | None) -> list[str]:
 
 
 class Remembered(dict):
-    """Values of a function of words, remembered for up to ``limit`` distinct words (then started anew)."""
+    """Values of a function of words, remembered for up to ``limit`` distinct words (then started anew).
+
+    Words beyond ``LONG`` characters are worked out each time, so the memory is bounded in bytes.
+    """
+
+    LONG = 64
 
     def __init__(self, of, limit: int = 300_000) -> None:
         self._of, self._limit = of, limit
 
     def __missing__(self, word: str):
-        value = self[word] = self._of(word)
+        value = self._of(word)
+        if len(word) <= self.LONG:
+            self[word] = value
         return value
 
     def all(self, words: list[str]) -> list:
         if len(self) > self._limit:
             self.clear()
-        return [*map(self.__getitem__, words)]
+        if len(words) <= self._limit:
+            return [*map(self.__getitem__, words)]
+        out = []
+        for at in range(0, len(words), self._limit):
+            out += self.all(words[at : at + self._limit])
+        return out
 
 
 class WordHashes:

@@ -10,7 +10,7 @@ from .licenses import op10_licenses
 from .packing import op9_packing
 from .quality import op7_quality
 from .simhash import op1_simhash
-from .substrings import op5_substrings
+from .substrings import OP5_SQL, op5_substrings
 from .toxicity import op6_toxicity
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_substrings": OP5_SQL}
