@@ -1,8 +1,13 @@
 """Near copies for the pipeline: SimHash fingerprints within two bits, and five-word Jaccard similarity of 0.8 or more.
 
-Copies with a few edits differ in more bits than SimHash buckets can search, so MinHash bands propose them: 30 bands of five
-hashes miss a pair at 0.8 with a probability of 7e-6, nearer ones with less. Bands link each text to the least of its bucket; the
-components of these links hold every proposed pair, and within each one the proposed pairs are compared exactly.
+Copies with a few edits differ in more bits than SimHash buckets can search, so MinHash bands propose further pairs: 30 bands
+of five hashes miss a pair at 0.8 with a probability of 7e-6, nearer ones with less. A proposed pair is compared exactly, on
+the sets of its shingles, and no pair in a bucket is lost:
+
+1. Stars. Each text of a bucket is compared with the least of it. That links nearly all copies, at one comparison each.
+2. Cells. Buckets that the stars leave in several components are cut into the members of the commonest component and the
+   others, and both into chunks of ``CHUNK``. A task gets two chunks, compares texts of different components until
+   they are linked, and hands on the links alone. Copies that are linked already cost nothing there.
 """
 
 from __future__ import annotations
@@ -14,36 +19,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, fresh_name, materialize, mix64, split_words
+from .common import Remembered, fresh_name, join_hot, materialize, mix64, release
 from .components import connected_components
-from .simhash import LOWER, fingerprint, near_links
+from .simhash import fingerprint_of, near_links, squeeze
 
 WIDTH = 5
 BANDS = 30
 ROWS = 5
 MIN_JACCARD = 0.8
+CHUNK = 256
+#: Pairs with one star centre that one task compares.
+STAR = 2000
 
+_A, _B = np.random.default_rng(11).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
+_A |= np.uint32(1)
 
-_A, _B = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
-_A |= np.uint64(1)
 
-
-def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
+class Shingles:
     """Sorted 64-bit hashes of the distinct runs of five words (of the whole sequence if it is shorter)."""
-    words = hashes(split_words((text or "").translate(LOWER)))
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    n = max(1, len(words) - WIDTH + 1)
-    out = np.zeros(n, np.uint64)
-    for j in range(min(WIDTH, len(words))):
-        out = mix64(out + words[j : j + n])
-    return np.unique(out)
+
+    def __init__(self) -> None:
+        import xxhash
+
+        self._words = Remembered(xxhash.xxh64_intdigest)
+
+    def __call__(self, squeezed: bytes) -> np.ndarray:
+        if not squeezed:
+            return np.zeros(0, np.uint64)
+        words = np.array(self._words.all(squeezed.split(b" ")), np.uint64)
+        n = max(1, len(words) - WIDTH + 1)
+        out = np.zeros(n, np.uint64)
+        for j in range(min(WIDTH, len(words))):
+            out = mix64(out + words[j : j + n])
+        return np.unique(out)
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        least = np.minimum(least, (shingles[at : at + 2048, None] * _A + _B).min(axis=0))
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    low = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(low), 512):
+        least = np.minimum(least, (low[at : at + 512, None] * _A + _B).min(axis=0))
     key = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         key = mix64(key + column)
@@ -60,89 +75,168 @@ _PRINT = "doc_id long, h long, content long, fp long, bands array<long>"
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    shingles_of = Shingles()
     for b in batches:
         content, fp, bands = [], [], []
         for t in b.column("text"):
-            text = t.as_py()
-            shingles = shingle_set(text, hashes)
+            squeezed = squeeze(t.as_py())
+            shingles = shingles_of(squeezed)
             content.append(content_of(shingles))
-            fp.append(fingerprint(text))
+            fp.append(fingerprint_of(squeezed))
             bands.append(band_keys(shingles) if len(shingles) else np.zeros(0, np.int64))
         fps = pa.array(np.array(fp, np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(content, pa.int64()), fps, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "content", "fp", "bands"])
 
 
-def similar(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-    """Links that connect all members which a chain of pairs, each sharing a band and 0.8 similar or more, connects."""
-    root = list(range(len(members)))
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingles_of = Shingles()
+    for b in batches:
+        rows = [shingles_of(squeeze(t.as_py())).view(np.int64) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("content"), pa.array(rows, pa.list_(pa.int64()))], names=["content", "shingles"])
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``MIN_JACCARD`` or more."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < MIN_JACCARD * len(b) or not len(a):
+        return False
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return both >= MIN_JACCARD * (len(a) + len(b) - both)
+
+
+def cell_links(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links that join what alike pairs (side 0 with side 1) of different components join. Rows: side, content, component, set."""
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
             x = root[x]
         return x
 
-    buckets: dict[int, list[int]] = {}
     out = []
-    for i, (content, own) in enumerate(members):
-        seen: set[int] = set()
-        for key in band_keys(own).tolist():
-            others = buckets.setdefault(key, [])
-            for j in others:
-                if j in seen or find(i) == find(j):
-                    continue
-                seen.add(j)
-                other = members[j][1]
-                if min(len(own), len(other)) < MIN_JACCARD * max(len(own), len(other)):
-                    continue
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if both >= MIN_JACCARD * (len(own) + len(other) - both):
-                    root[find(i)] = find(j)
-                    out.append((content, members[j][0]))
-            others.append(i)
+    other = [r for r in rows if r[0] == 1]
+    for _, content, component, own in (r for r in rows if r[0] == 0):
+        for _, content2, component2, own2 in other:
+            a, b = find(component), find(component2)
+            if a != b and alike(own, own2):
+                root[a] = b
+                out.append((content, content2))
     return out
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, at, members = WordHashes(), None, []
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, rows = None, []
 
     def done() -> pa.RecordBatch:
-        links = similar(members)
+        links = cell_links(rows)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     for b in batches:
-        for group, content, text in zip(b.column("component").to_pylist(), b.column("content").to_pylist(), b.column("text"), strict=True):
-            if group != at and members:
+        own = [b.column(c).to_pylist() for c in ("band", "kind", "i", "j", "side", "content", "component")]
+        for band, kind, i, j, side, content, component, shingles in zip(*own, b.column("shingles"), strict=True):
+            if (band, kind, i, j) != at and rows:
                 yield done()
-                members = []
-            at = group
-            members.append((content, shingle_set(text.as_py(), hashes)))
-    if members:
+                rows = []
+            at = (band, kind, i, j)
+            rows.append((side, content, component, shingles.values.to_numpy().view(np.uint64)))
+    if rows:
         yield done()
 
 
+def _star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are alike. A centre v of very many pairs is copied to several tasks."""
+    count = pairs.groupBy("v").agg(F.count("*").alias("n"))
+    total = pairs.count()
+    # at most a thousand rows
+    hot = F.broadcast(materialize(count.where((F.col("n") > STAR) & (F.col("n") * 1000 >= total)).select("v", F.ceil(F.col("n") / STAR).cast("int").alias("parts")), "hot-centres"))
+    left = pairs.join(hot, "v", "left").select("u", "v", F.coalesce(F.pmod(F.xxhash64("u"), "parts"), F.lit(0)).cast("int").alias("salt"))
+    right = sets.withColumnRenamed("content", "v").join(hot, "v", "left")
+    right = right.select("v", F.col("shingles").alias("of_v"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+    both = left.join(sets.select(F.col("content").alias("u"), F.col("shingles").alias("of_u")), "u").join(right, ["v", "salt"])
+    a, b = F.size("of_u"), F.size("of_v")
+    common = F.size(F.array_intersect("of_u", "of_v"))
+    near = (F.least(a, b) >= F.greatest(a, b) * MIN_JACCARD) & (common >= (a + b - common) * MIN_JACCARD)
+    return both.where(near).select("u", "v")
+
+
+def _cell_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components of one bucket. ``members``: band, content, component."""
+    size = materialize(members.groupBy("band", "component").agg(F.count("*").alias("c")), "bucket-components")
+    most = F.max(F.struct("c", "component")).alias("most")
+    open_ = size.groupBy("band").agg(most, F.sum("c").alias("n"), F.count("*").alias("m")).where("m > 1")
+    chunks = lambda c: F.ceil(c / CHUNK).cast("int")
+    open_ = open_.select("band", "n", F.col("most.component").alias("major"), chunks(F.col("most.c")).alias("bigs"), chunks(F.col("n") - F.col("most.c")).alias("smalls"))
+    open_ = materialize(open_, "open-buckets")
+    total = members.count()
+    rows = join_hot(members, open_, ["band"], total).withColumn("big", F.col("component") == F.col("major"))
+    at = F.pmod(F.xxhash64("content", "band"), F.when(F.col("big"), F.col("bigs")).otherwise(F.col("smalls"))).cast("int")
+    rows = materialize(rows.withColumn("at", at), "open-members")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    here = F.col("at")
+    big = F.transform(upto("smalls"), lambda j: cell(0, here, j, 0))
+    small = F.transform(upto("bigs"), lambda i: cell(0, i, here, 1))
+    one = F.transform(F.sequence(here, F.col("smalls") - 1), lambda j: cell(1, here, j, 0))
+    two = F.transform(F.sequence(F.lit(0), here), lambda i: cell(1, i, here, 1))
+    dealt = rows.select("band", "content", "component", F.explode(F.when(F.col("big"), big).otherwise(F.concat(small, one, two))).alias("cell"))
+    dealt = dealt.select("band", "cell.kind", "cell.i", "cell.j", "cell.side", "content", "component").join(sets, "content")
+    key = ["band", "kind", "i", "j"]
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
+    return materialize(dealt.select(*key, "side", "content", "component", "shingles").mapInArrow(_cells, "u long, v long"), "cell-links")
+
+
+def similar_links(given: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links (u, v) between contents: their components are those of all pairs that share a band and are alike.
+
+    ``given``: doc_id, h, text; ``prints``: of each of its rows. Contents without words have no links.
+    """
+    # one row for each content, with a row of the documents that holds it
+    contents = materialize(prints.groupBy("content").agg(F.min(F.struct("doc_id", "h")).alias("of"), F.first("bands").alias("bands")), "contents")
+    buckets = contents.select("content", F.explode("bands").alias("band"))
+    stars = materialize(buckets.groupBy("band").agg(F.min("content").alias("v"), F.count("*").alias("n")).where("n > 1"), "stars")
+    total = contents.agg(F.sum(F.size("bands"))).first()[0] or 0
+    shared = materialize(join_hot(buckets, stars, ["band"], total), "shared-buckets")
+    pairs = materialize(shared.where("content <> v").select(F.col("content").alias("u"), "v").distinct(), "pairs")
+    some = contents.join(shared.select("content").distinct(), "content", "left_semi").select("of.doc_id", "of.h", "content")
+    texts = given.join(some, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("content", "text")
+    sets = materialize(texts.mapInArrow(_sets, "content long, shingles array<long>"), "shingle-sets")
+    star = materialize(_star_links(pairs, sets), "star-links")
+    parts = connected_components(star).withColumnRenamed("node", "content")
+    members = shared.join(parts, "content", "left").select("band", "content", F.coalesce("component", "content").alias("component"))
+    members = materialize(members, "bucket-members")
+    cells = _cell_links(members, sets)
+    release(contents, stars, shared, pairs, sets, members)
+    return star.unionByName(cells)
+
+
 def drop_near_copies(docs: DataFrame, k: int = 2) -> DataFrame:
     """``docs`` with one row of each component of near copies, one with its smallest id; rows without an id stay.
 
-    Rows of one id with different texts are apart unless their texts are near; of repeated rows one stays.
+    Rows of one id with different texts are apart unless their texts are near; of repeated rows one stays. Null and empty texts,
+    and texts of separators alone, are copies of each other. An empty table gives an empty one; columns pass through.
     """
     h = fresh_name("h", docs.columns)
     given = docs.where("doc_id is not null").withColumn(h, F.xxhash64("text"))
-    prints = materialize(given.select("doc_id", F.col(h).alias("h"), "text").mapInArrow(_prints, _PRINT), "prints")
-    # one row for each content, with a row of the documents that holds it
-    contents = materialize(prints.groupBy("content").agg(F.min(F.struct("doc_id", "h")).alias("of"), F.first("bands").alias("bands")), "contents")
-    buckets = contents.select("content", F.explode("bands").alias("band"))
-    stars = buckets.groupBy("band").agg(F.min("content").alias("v"), F.max("content").alias("top")).where("v < top")
-    proposed = connected_components(buckets.join(stars, "band").select(F.col("content").alias("u"), "v"))
-    some = contents.join(proposed, contents["content"] == proposed["node"]).select("of.doc_id", "of.h", "content", "component")
-    texts = given.select("doc_id", F.col(h).alias("h"), "text").join(some, ["doc_id", "h"]).dropDuplicates(["content"])
-    near = texts.select("component", "content", "text").repartition("component").sortWithinPartitions("component")
-    near = near.mapInArrow(_verified, "u long, v long")
-    fps = materialize(prints.select("fp").distinct().withColumn("node", F.col("fp")), "classes")
-    links = near.unionByName(near_links(fps, k)).unionByName(prints.select(F.col("content").alias("u"), F.col("fp").alias("v")).distinct())
-    parts = connected_components(links)
-    named = prints.join(parts, prints["content"] == parts["node"], "left").withColumn("component", F.coalesce("component", "content"))
-    kept = materialize(named.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("of")).select(F.col("of.doc_id").alias("doc_id"), F.col("of.h").alias(h)).distinct(), "kept")
-    kept = given.join(kept, ["doc_id", h], "left_semi").dropDuplicates(["doc_id", h]).select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    plain = given.select("doc_id", F.col(h).alias("h"), "text")
+    prints = materialize(plain.mapInArrow(_prints, _PRINT), "prints")
+    similar = similar_links(plain, prints)
+    fps = materialize(prints.groupBy("fp").agg(F.min("content").alias("a"), F.max("content").alias("b")), "classes")
+    near = materialize(near_links(fps.select("fp", F.col("fp").alias("node")), k), "near-fingerprints")
+    # a fingerprint of one content without near ones links nothing
+    busy = fps.where("a <> b").select("fp").unionByName(near.select(F.col("u").alias("fp"))).unionByName(near.select(F.col("v").alias("fp"))).distinct()
+    of = prints.select("content", "fp").distinct().join(busy, "fp", "left_semi").select(F.col("content").alias("u"), F.col("fp").alias("v"))
+    parts = connected_components(similar.unionByName(near).unionByName(of)).withColumnRenamed("node", "content")
+    rows = materialize(prints.groupBy("doc_id", "h", "content").agg(F.count("*").alias("n")).join(parts, "content", "left")
+                       .select("doc_id", "h", "n", F.coalesce("component", "content").alias("component")), "rows")
+    release(prints, fps, near)
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("of")).select("of.doc_id", "of.h")
+    gone = materialize(rows.join(first, ["doc_id", "h"], "left_anti").select("doc_id", F.col("h").alias(h)), "copies")
+    repeated = materialize(rows.where("n > 1").select("doc_id", F.col("h").alias(h)), "repeated-rows")
+    release(rows)
+    kept = given.join(gone, ["doc_id", h], "left_anti")
+    single = kept.join(repeated, ["doc_id", h], "left_anti")
+    one = kept.join(repeated, ["doc_id", h], "left_semi").dropDuplicates(["doc_id", h])
+    return single.unionByName(one).select(docs.columns).unionByName(docs.where("doc_id is null"))

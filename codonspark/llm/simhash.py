@@ -24,24 +24,22 @@ from .common import WORD_SPACE, materialize, read_table
 from .components import connected_components
 
 FAN = 8
-LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
 
 # ---------------------------------------------------------------- fingerprints
-def _squeeze(text: str) -> bytes:
+def squeeze(text: str | None) -> bytes:
     """ASCII-lower-cased words joined by one space, as UTF-8."""
-    data = text.encode("utf-8", "surrogatepass").lower()  # bytes.lower() changes A-Z only
+    data = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes.lower() changes A-Z only
     for c in WORD_SPACE[1:].encode():
         if c in data:
             data = data.replace(bytes([c]), b" ")
     return b" ".join([w for w in data.split(b" ") if w])
 
 
-def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
-    """XXH64 of each run of ``width`` words (of the whole sequence if it is shorter; none without words)."""
+def shingle_hashes(data: bytes, width: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of ``width`` words (of the whole sequence if it is shorter; none without words) of a squeezed text."""
     import xxhash
 
-    data = _squeeze(text) if text else b""
     if not data:
         return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
@@ -53,9 +51,8 @@ def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarr
     return np.array([of(data[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Bit b is 1 if it is set in more than half of the shingles' hashes; 0 without words."""
-    hashes = shingle_hashes(text, width)
+def fingerprint_of(squeezed: bytes, width: int = 3) -> int:
+    hashes = shingle_hashes(squeezed, width)
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
@@ -66,6 +63,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Bit b is 1 if it is set in more than half of the shingles' hashes; 0 without words."""
+    return fingerprint_of(squeeze(text), width)
+
+
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
@@ -266,13 +268,3 @@ def simhash_components(docs: DataFrame, k: int = 2, bucket_rows: int = 20_000) -
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
-
-
-def drop_near_duplicates(docs: DataFrame, k: int = 2) -> DataFrame:
-    """``docs`` with one row of each component: the one whose id names it; rows without an id stay.
-
-    Of several rows with that id one stays.
-    """
-    kept = simhash_components(docs.where("doc_id is not null"), k).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))

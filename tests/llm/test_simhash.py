@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from codonspark.llm import simhash
+from pyspark.sql import functions as F
+
+from codonspark.llm import near_copies, simhash
 
 SCHEMA = "doc_id long, text string, node long, fp string, component_id int"
 
@@ -95,7 +97,7 @@ def test_index_finds_every_pair():
 def test_stage_keeps_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(90))
     docs = spark.createDataFrame([(3, text, 1, "a", 1), (7, text, 2, "b", 2), (9, "quite another text here", 3, "c", 3), (None, text, 4, "d", 4)], SCHEMA)
-    got = simhash.drop_near_duplicates(docs)
+    got = near_copies.drop_near_copies(docs)
     assert sorted(map(str, got.collect())) == sorted(map(str, docs.where("doc_id is null or doc_id <> 7").collect()))
 
 
@@ -138,3 +140,46 @@ def test_stage_drops_near_copies_against_brute_force(spark):
     got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert far > 10 and got.columns == docs.columns
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted(want.values())
+
+
+@pytest.mark.parametrize("chunk,star", [(256, 2000), (3, 2)])
+def test_similar_links_lose_no_link_in_crowded_buckets(spark, monkeypatch, chunk, star):
+    """Families whose members are about 0.8 alike, so that many are not alike with the least of their bucket."""
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    monkeypatch.setattr(near_copies, "STAR", star)
+    rnd = random.Random(8)
+    rows = []
+    for f in range(3):
+        w = [f"f{f}w{i}" for i in range(150)]
+        for _ in range(40):
+            v = list(w)
+            for _ in range(rnd.randint(0, 3)):
+                v[rnd.randrange(len(v))] = f"e{rnd.randrange(9)}"
+            rows.append(" ".join(v))
+    rows += ["", " \n", "one", "one", "long " * 5000]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    prints = spark.createDataFrame(docs.mapInArrow(near_copies._prints, near_copies._PRINT).collect(), near_copies._PRINT)
+    of = {r["doc_id"]: r["content"] for r in prints.collect()}
+    root = {c: c for c in of.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = {}
+    for i, t in enumerate(rows):
+        w = t.split()
+        sets[of[i]] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    links = near_copies.similar_links(docs, prints).collect()
+    for r in links:
+        a, b = sets[r["u"]], sets[r["v"]]
+        assert len(a & b) >= 0.8 * len(a | b)
+        root[find(r["u"])] = find(r["v"])
+    far = 0
+    for u, a in sets.items():
+        for v, b in sets.items():
+            if a and b and len(a & b) >= 0.8 * len(a | b):
+                assert find(u) == find(v)
+            far += bool(a and b and 0.5 < len(a & b) / len(a | b) < 0.8)
+    assert far > 100
