@@ -21,24 +21,38 @@ from pyspark.sql import functions as F
 from .common import materialize, read_table
 
 K = 10
-SHARD_ROWS = 2048
+SHARD_ROWS = 8192
 M = 16
 EF_BUILD = 64
 EF_SEARCH = 96
 
 
+class Frame:
+    """A shift and a scale that take vectors near the origin, whatever their magnitude; nearness stays as it is.
+
+    The shift is the middle of each component, so a few far vectors don't move the others.
+    """
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.scale = max(float(np.abs(vectors).max()), 1e-300)
+        self.centre = np.median(vectors / self.scale, axis=0)
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        return vectors / self.scale - self.centre
+
+
 class Graph:
-    """HNSW over the rows of ``vectors`` (float32 distances; answers are measured anew in double precision)."""
+    """HNSW over the rows of ``vectors``, in double precision by differences: nothing cancels far from the origin."""
 
     def __init__(self, vectors: np.ndarray, neighbours: list[np.ndarray], levels: np.ndarray, entry: int) -> None:
         self.vectors, self.neighbours, self.levels, self.entry = vectors, neighbours, levels, entry
-        self.norms = np.einsum("ij,ij->i", vectors, vectors)
 
     # -- search
-    def _far(self, query: np.ndarray, norm: float, ids: np.ndarray) -> np.ndarray:
-        return self.norms[ids] - 2 * (self.vectors[ids] @ query) + norm
+    def _far(self, query: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        diff = self.vectors[ids] - query
+        return np.einsum("ij,ij->i", diff, diff)
 
-    def _layer(self, query: np.ndarray, norm: float, start: list[tuple[float, int]], ef: int, level: int, seen: np.ndarray, mark: int) -> list[tuple[float, int]]:
+    def _layer(self, query: np.ndarray, start: list[tuple[float, int]], ef: int, level: int, seen: np.ndarray, mark: int) -> list[tuple[float, int]]:
         """The ef nearest found from ``start`` in a level, nearest first. ``seen`` holds the mark of the last visit."""
         table = self.neighbours[level]
         open_ = list(start)
@@ -57,7 +71,7 @@ class Graph:
             if not len(near):
                 continue
             seen[near] = mark
-            far = self._far(query, norm, near)
+            far = self._far(query, near)
             if len(best) >= ef:
                 use = far < -best[0][0]
                 near, far = near[use], far[use]
@@ -72,11 +86,10 @@ class Graph:
 
     def search(self, query: np.ndarray, k: int, ef: int, seen: np.ndarray, mark: int) -> list[int]:
         """About the k nearest nodes. ``mark``: a number that ``seen`` doesn't hold yet; one more is used per level."""
-        norm = float(query @ query)
-        now = [(float(self._far(query, norm, np.array([self.entry]))[0]), self.entry)]
+        now = [(float(self._far(query, np.array([self.entry]))[0]), self.entry)]
         for level in range(len(self.neighbours) - 1, 0, -1):
-            now = self._layer(query, norm, now[:1], 1, level, seen, mark + level)
-        return [i for _, i in self._layer(query, norm, now[:1], max(ef, k), 0, seen, mark)[:k]]
+            now = self._layer(query, now[:1], 1, level, seen, mark + level)
+        return [i for _, i in self._layer(query, now[:1], max(ef, k), 0, seen, mark)[:k]]
 
     # -- construction
     @classmethod
@@ -91,14 +104,14 @@ class Graph:
         seen = np.full(n, -1, np.int64)
         mark, reached = 0, int(levels[0]) if n else 0
         for i in range(1, n):
-            q, norm, own = vectors[i], float(self.norms[i]), int(levels[i])
-            now = [(float(self._far(q, norm, np.array([self.entry]))[0]), self.entry)]
+            q, own = vectors[i], int(levels[i])
+            now = [(float(self._far(q, np.array([self.entry]))[0]), self.entry)]
             for level in range(reached, own, -1):
                 mark += 1
-                now = self._layer(q, norm, now[:1], 1, level, seen, mark)
+                now = self._layer(q, now[:1], 1, level, seen, mark)
             for level in range(min(own, reached), -1, -1):
                 mark += 1
-                now = self._layer(q, norm, now, ef, level, seen, mark)
+                now = self._layer(q, now, ef, level, seen, mark)
                 near = self._choose(now, m)
                 tables[level][i, : len(near)] = near
                 for j in near:
@@ -111,7 +124,6 @@ class Graph:
         """Near nodes that are nearer to the new one than to any chosen before; the nearest of the rest fill up."""
         ids = np.array([i for _, i in found])
         x = self.vectors[ids]
-        between = self.norms[ids][:, None] + self.norms[ids][None, :] - 2 * (x @ x.T)
         least = np.full(len(ids), np.inf)
         kept, rest = [], []
         for a, (d, _) in enumerate(found):
@@ -119,7 +131,8 @@ class Graph:
                 kept.append(a)
                 if len(kept) == m:
                     break
-                np.minimum(least, between[a], out=least)
+                diff = x - x[a]
+                np.minimum(least, np.einsum("ij,ij->i", diff, diff), out=least)
             else:
                 rest.append(a)
         return ids[(kept + rest)[:m]].tolist()
@@ -131,7 +144,7 @@ class Graph:
             row[free[0]] = i
             return
         ids = np.append(row, i)
-        far = self._far(self.vectors[j], float(self.norms[j]), ids)
+        far = self._far(self.vectors[j], ids)
         order = np.argsort(far, kind="stable")
         row[:] = self._choose(list(zip(far[order].tolist(), ids[order].tolist(), strict=True)), len(row))
 
@@ -192,7 +205,7 @@ def _build(m: int, ef: int):
         import pandas as pd
 
         vectors = np.stack([np.frombuffer(v, np.float64) for v in frame["vector"]])
-        graph = Graph.build(vectors.astype(np.float32), m, ef)
+        graph = Graph.build(Frame(vectors)(vectors), m, ef)
         ids = np.full((len(frame), max(map(len, frame["ids"]))), -1, np.int64)
         for r, x in enumerate(frame["ids"]):
             ids[r, : len(x)] = x
@@ -236,19 +249,22 @@ def _answer(k: int, ef: int):
                     for w in row["widths"]:
                         tables.append(flat[at : at + n * w].reshape(n, w))
                         at += n * w
-                    graph = Graph(exact.astype(np.float32), tables, np.frombuffer(row["levels"], np.int64), row["entry"])
-                    graphs.append([exact, np.frombuffer(row["ids"], np.int64).reshape(n, -1), graph, np.full(n, -1, np.int64), 0])
+                    frame = Frame(exact)
+                    graph = Graph(frame(exact), tables, np.frombuffer(row["levels"], np.int64), row["entry"])
+                    graphs.append([exact, frame, np.frombuffer(row["ids"], np.int64).reshape(n, -1), graph, np.full(n, -1, np.int64), 0])
                     continue
                 me, q = columns["query_id"][r].as_py(), np.frombuffer(columns["vectors"][r].as_py(), np.float64)
                 for held in graphs:
-                    exact, ids, graph, seen, mark = held
+                    exact, frame, ids, graph, seen, mark = held
                     if exact.shape[1] != len(q):
                         continue
                     # one more than k: the query's own node may hold nobody else
-                    found = graph.search(q.astype(np.float32), k + 1, ef, seen, mark)
-                    held[4] = mark + len(graph.neighbours) + 1
+                    found = graph.search(frame(q), k + 1, ef, seen, mark)
+                    held[5] = mark + len(graph.neighbours) + 1
                     diff = exact[found] - q
-                    score = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+                    big = max(float(np.abs(diff).max()), 1e-300) if len(found) else 1.0  # squares of huge differences would overflow
+                    big = big if big > 1e150 or big < 1e-150 else 1.0
+                    score = big * np.sqrt(np.einsum("ij,ij->i", diff / big, diff / big))
                     hits = [(float(s), i) for s, node in zip(score, found, strict=True) for i in ids[node].tolist() if i >= 0 and i != me]
                     out += [(me, i, s) for s, i in sorted(hits)[:k]]
             if out:

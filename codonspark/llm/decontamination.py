@@ -1,21 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval (operator 2).
 
-1. Vocabulary: the content terms of the benchmark items, that is, all but those in more than ``max_item_df`` of them
-   (an item with few content terms keeps all its terms). One pass over the texts keeps where these terms stand; what
-   follows works on those hits. Document frequencies are counted over all passages of all documents.
-2. Randomised SVD of the TF-IDF matrix A of all passages (rows) and terms: each partition adds up A'(A G) for a fixed
-   Gaussian G, Spark sums the parts, and an orthonormal basis of the result spans the leading right singular vectors.
-   The items are rows of A too, weighted to count as much as the documents, so that their directions are kept.
+1. Vocabulary: the content terms of the benchmark items, that is, all but those in more than ``max_item_df`` of all
+   items (an item with under ``FEW_TERMS`` content terms keeps all its terms). One pass over the texts keeps where these terms
+   stand; what follows works on those hits. Document frequencies are counted over all passages of all documents.
+2. Randomised SVD of the TF-IDF matrix A of all passages (rows) and terms: a pass sums A'(A G) for a fixed Gaussian
+   G over the partitions, an orthonormal basis Q of it goes through A'A once more (power iteration), and the
+   decomposition of the small triangle gives singular values and the leading right singular vectors. The items are rows of A too, weighted
+   to count as much as the documents, so that their directions are kept.
 3. Every window of every document and every item is a vector in that space; pairs with a cosine of ``min_cosine`` or
    more are candidates. Windows overlap by half, so any run of half a window lies in one.
    The rank is fixed, so a cosine may miss what 4 accepts. For items of ``FEW_TERMS`` terms or more every window near
    one of the item's seeds is a candidate too: a leak holds a share of the answer terms, hence one of so many of the
    rarest that the others can't make up that share. No pair that 4 accepts is lost on these items.
-4. A candidate is a leak if the document near the window has a common subsequence of content terms with the item that
-   covers ``min_lcs`` of it, and holds most of the item's answer terms (its rarest ones). Both allow paraphrase.
+4. A candidate is a leak if the document near the window (``STRETCH`` times the item's size on either side) has a common
+   subsequence of content terms with the item that covers ``min_lcs`` of it, and holds most of the item's answer terms (its
+   rarest ones). Both allow paraphrase.
 
-The benchmark is read in blocks of ``block_items`` items, each with its own vocabulary and basis, so nothing that is
-sent to the executors grows with it.
+The benchmark is read in blocks of ``block_items`` items at most and ``BLOCK_CELLS`` items times terms, each with its own basis,
+so nothing that is sent to the executors grows with it. Which terms of an item count doesn't depend on its block.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import fresh_name, materialize, read_table, release
 
 PASSAGE = 32
 HALF = PASSAGE // 2
@@ -40,6 +42,8 @@ MIN_COSINE = 0.6
 MIN_LCS = 0.6
 MIN_ANSWER = 0.5
 BLOCK_ITEMS = 1000
+BLOCK_CELLS = 20_000_000
+STRETCH = 2
 
 #: ASCII marks and controls part terms, as white space does.
 _PARTED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -51,7 +55,7 @@ def terms_of(text: str | None) -> list[bytes]:
 
 
 # ---------------------------------------------------------------- hits
-_HITS = "doc_id long, n long, at binary, term binary"
+_HITS = "doc_id long, h long, n long, at binary, term binary"
 
 
 def _hits(vocabulary: dict[bytes, int]):
@@ -66,7 +70,8 @@ def _hits(vocabulary: dict[bytes, int]):
                 size.append(len(terms))
                 at_.append(at.tobytes())
                 term_.append(ids[at].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(at_, pa.binary()), pa.array(term_, pa.binary())], names=["doc_id", "n", "at", "term"])
+            columns = [b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(size, pa.int64()), pa.array(at_, pa.binary()), pa.array(term_, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "at", "term"])
 
     return run
 
@@ -129,18 +134,27 @@ def _sketch(idf: np.ndarray, probe: np.ndarray):
 
 
 # ---------------------------------------------------------------- items
-def content_terms(items: list[tuple[int, str]], max_item_df: float) -> list[tuple[int, list[bytes]]]:
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        own = [sorted(set(terms_of(t.as_py()))) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([pa.array([t for x in own for t in x], pa.binary())], names=["term"])
+
+
+def common_terms(items: DataFrame, max_item_df: float) -> frozenset[bytes]:
+    """Terms in more than ``max_item_df`` of all items, two items at least. At most 1 / max_item_df times as many as an item has
+    on average, however many items there are."""
+    most = max(2.0, max_item_df * items.count())
+    df = items.select("text").mapInArrow(_item_terms, "term binary").groupBy("term").agg(F.count("*").alias("n"))
+    return frozenset(bytes(r["term"]) for r in df.where(F.col("n") > most).collect())
+
+
+def content_terms(items: list[tuple[int, str]], common: frozenset[bytes]) -> list[tuple[int, list[bytes]]]:
     """(item_id, content terms in order) of the items that have any term."""
-    words = [(i, terms_of(text)) for i, text in items]
-    df: dict[bytes, int] = {}
-    for _, w in words:
-        for t in set(w):
-            df[t] = df.get(t, 0) + 1
-    most = max(2, max_item_df * len(words))
     out = []
-    for i, w in words:
-        own = [t for t in w if df[t] <= most]
-        out.append((i, own if len(own) >= FEW_TERMS else w))
+    for i, text in items:
+        words = terms_of(text)
+        own = [t for t in words if t not in common]
+        out.append((i, own if len(own) >= FEW_TERMS else words))
     return [(i, w) for i, w in out if w]
 
 
@@ -156,6 +170,29 @@ def lcs_length(item: dict[int, int], size: int, terms: list[int]) -> int:
     return size - v.bit_count()
 
 
+def _gram(hits: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'(A basis) over all passages: partitions add up theirs, Spark the partitions."""
+    names = [f"c{i}" for i in range(basis.shape[1])]
+    parts = hits.mapInArrow(_sketch(idf, basis), "term long, " + ", ".join(f"{c} double" for c in names))
+    summed = parts.groupBy("term").agg(*(F.sum(c).alias(c) for c in names)).toPandas()  # one row a term
+    total = np.zeros(basis.shape)
+    total[summed["term"].to_numpy(int)] = summed[names].to_numpy()
+    return total
+
+
+def truncated_svd(hits: DataFrame, own: np.ndarray, idf: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """(right singular vectors by column, singular values) of the passages' matrix with the weighted items below it."""
+    probe = np.random.default_rng(7).standard_normal((len(idf), rank))
+    seen, mine = _gram(hits, idf, probe), own.T @ (own @ probe)
+    weight = max(np.linalg.norm(seen) / max(np.linalg.norm(mine), 1e-30), 1.0)
+    basis, _ = np.linalg.qr(seen + weight * mine)
+    again = _gram(hits, idf, basis) + weight * (own.T @ (own @ basis))
+    # one step of power iteration, then the small decomposition: A'A Q = P (U S W') has the singular values' squares in S
+    power, rest = np.linalg.qr(again)
+    left, squares, _ = np.linalg.svd(rest)
+    return power @ left, np.sqrt(squares)
+
+
 def _model(hits: DataFrame, words: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], rank: int, min_lcs: float, min_answer: float) -> dict:
     size = len(vocabulary)
     df = np.zeros(size + 1)
@@ -164,19 +201,12 @@ def _model(hits: DataFrame, words: list[tuple[int, list[bytes]]], vocabulary: di
     passages = max(1.0, df[size])
     idf = np.log((passages + 1) / (df[:size] + 1)) + 0.05
     rank = min(rank, size)
-    probe = np.random.default_rng(7).standard_normal((size, rank))
-    names = [f"c{i}" for i in range(rank)]
-    parts = hits.mapInArrow(_sketch(idf, probe), "term long, " + ", ".join(f"{c} double" for c in names))
-    summed = parts.groupBy("term").agg(*(F.sum(c).alias(c) for c in names)).toPandas()  # one row a term
-    total = np.zeros((size, rank))
-    total[summed["term"].to_numpy(int)] = summed[names].to_numpy()
     own = np.zeros((len(words), size), np.float32)
     for r, (_, w) in enumerate(words):
         for t in w:
             own[r, vocabulary[t]] += 1
     own *= idf.astype(np.float32)
-    mine = own.T @ (own @ probe)
-    basis, _ = np.linalg.qr(total + max(np.linalg.norm(total) / np.linalg.norm(mine), 1.0) * mine)
+    basis, _ = truncated_svd(hits, own, idf, rank)
     latent = own @ basis
     member = own > 0
     entries, seeds = [], []
@@ -259,7 +289,7 @@ def _near_seeds(half: np.ndarray, ids: np.ndarray, row: np.ndarray, model: dict,
         i = of[np.arange(many.sum()) - np.repeat(first - at[ids[p]], many)]
         _, one = np.unique(np.repeat(half[p], many) * len(sizes) + i, return_index=True)
         p, i = np.repeat(p, many)[one], i[one]
-        reach = 2 * sizes[i] // HALF + 1
+        reach = STRETCH * sizes[i] // HALF + 1
         begin, end = np.searchsorted(half, half[p] - 1 - 2 * reach), np.searchsorted(half, half[p] + 2 + 2 * reach)
         keep = end - begin >= min_lcs * sizes[i]
         for c in range(0, len(p), 20_000):  # all stretches with this seed together
@@ -286,7 +316,7 @@ def leaks_of(b: pa.RecordBatch, model: dict, min_cosine: float, min_lcs: float,
     for windows, items, rows in itertools.chain(latent, _near_seeds(half, ids, row, model, sizes, min_lcs)):
         for low in range(0, len(windows), 20_000):
             w, i, own_row = (x[low : low + 20_000] for x in (windows, items, rows))
-            reach = 2 * sizes[i] // HALF + 1
+            reach = STRETCH * sizes[i] // HALF + 1
             begin, end = np.searchsorted(half, w - reach), np.searchsorted(half, w + 2 + reach)
             # a stretch without enough of the item's terms can't cover it
             held = np.flatnonzero(end > begin)
@@ -308,54 +338,85 @@ def leaks_of(b: pa.RecordBatch, model: dict, min_cosine: float, min_lcs: float,
     return best
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32())])
 
 
-def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, rank: int = RANK, max_item_df: float = MAX_ITEM_DF, min_cosine: float = MIN_COSINE,
-    min_lcs: float = MIN_LCS, min_answer: float = MIN_ANSWER, block_items: int = BLOCK_ITEMS,
-) -> DataFrame:
-    """One row per document and item that it leaks: doc_id, item_id, coverage, start_word, end_word.
-
-    Null and empty texts and items, and items of marks alone, leak nothing; a null doc_id is reported as null. Repeated
-    rows are reported each; repeated items under each of their ids. Without documents or items there are no rows.
-    Other columns are ignored.
-    """
+def _blocks(items: DataFrame, common: frozenset[bytes], block_items: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """(item_id, content terms) block by block, in the order of ids; no block holds too many items times terms."""
+    last = None
+    while True:
+        more = items if last is None else items.where((F.col("item_id") > last[0]) | ((F.col("item_id") == last[0]) & (F.col("text") > last[1])))
+        rows = more.distinct().orderBy("item_id", "text").limit(block_items).collect()
+        if not rows:
+            return
+        last = (rows[-1]["item_id"], rows[-1]["text"])
+        block: list[tuple[int, list[bytes]]] = []
+        terms: set[bytes] = set()
+        for i, w in content_terms([(r["item_id"], r["text"]) for r in rows], common):
+            if block and (len(block) + 1) * len(terms.union(w)) > BLOCK_CELLS:
+                yield block
+                block, terms = [], set()
+            block.append((i, w))
+            terms.update(w)
+        if block:
+            yield block
+
+
+def _leaks(
+    docs: DataFrame, benchmark: DataFrame, rank: int, max_item_df: float, min_cosine: float, min_lcs: float, min_answer: float, block_items: int,
+) -> DataFrame | None:
+    """The rows of ``find_leaks`` with the hash h of the text; ``docs`` has doc_id, text, h."""
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    out, last = None, None
-    while True:
-        more = items if last is None else items.where(F.col("item_id") > last)
-        block = more.orderBy("item_id").limit(block_items).collect()
-        if not block:
-            break
-        if len(block) == block_items:  # all items of the last id belong to one block
-            block = [r for r in block if r["item_id"] < block[-1]["item_id"]] or items.where(F.col("item_id") == block[-1]["item_id"]).collect()
-        last = block[-1]["item_id"]
-        words = content_terms([(r["item_id"], r["text"]) for r in block], max_item_df)
+    out = None
+    for words in _blocks(items, common_terms(items, max_item_df), block_items):
         vocabulary = {t: k for k, t in enumerate(sorted({t for _, w in words for t in w}))}
-        if not vocabulary:
-            continue
-        hits = materialize(docs.select("doc_id", "text").mapInArrow(_hits(vocabulary), _HITS), "benchmark-hits")
+        hits = materialize(docs.mapInArrow(_hits(vocabulary), _HITS), "benchmark-hits")
         sent = spark.sparkContext.broadcast(_model(hits, words, vocabulary, rank, min_lcs, min_answer))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
             for b in batches:
-                found, ids = leaks_of(b, own, min_cosine, min_lcs, min_answer), b.column("doc_id").to_pylist()
-                rows = [(ids[r], own["entries"][i][0], *x) for (r, i), x in sorted(found.items())]
+                found, ids, h = leaks_of(b, own, min_cosine, min_lcs, min_answer), b.column("doc_id").to_pylist(), b.column("h").to_pylist()
+                rows = [(ids[r], h[r], own["entries"][i][0], *x) for (r, i), x in sorted(found.items())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
 
-        part = hits.mapInArrow(run, "doc_id long, item_id long, coverage double, start_word int, end_word int")
+        part = materialize(hits.mapInArrow(run, "doc_id long, h long, item_id long, coverage double, start_word int, end_word int"), "leaks")
+        release(hits)
         out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], "doc_id long, item_id long, coverage double, start_word int, end_word int") if out is None else out
+    return out
+
+
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, rank: int = RANK, max_item_df: float = MAX_ITEM_DF, min_cosine: float = MIN_COSINE,
+    min_lcs: float = MIN_LCS, min_answer: float = MIN_ANSWER, block_items: int = BLOCK_ITEMS,
+) -> DataFrame:
+    """One row per document and item that it leaks: doc_id, item_id, coverage, start_word, end_word.
+
+    Null and empty texts and items, and items of marks alone, leak nothing; a null doc_id is reported as null. Repeated
+    rows are reported each; a repeated item counts once, equal texts count under each of their ids. Without documents or items there are no rows.
+    Other columns are ignored.
+    """
+    given = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    out = _leaks(given, benchmark, rank, max_item_df, min_cosine, min_lcs, min_answer, block_items)
+    return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, start_word int, end_word int") if out is None else out.drop("h")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that leak no benchmark item, with all their columns."""
-    found = materialize(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The rows of ``docs`` that leak no benchmark item, with all their columns.
+
+    Rows are judged by their texts: of rows that share an id, or have none, only those that leak go. Null and empty texts stay,
+    so does everything where there are no items; repeated rows stay or go together.
+    """
+    h = fresh_name("h", docs.columns)
+    given = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    found = _leaks(given, benchmark, RANK, MAX_ITEM_DF, MIN_COSINE, MIN_LCS, MIN_ANSWER, BLOCK_ITEMS)
+    if found is None:
+        return docs
+    found = materialize(found.select(F.col("doc_id").alias("id"), F.col("h").alias("of")).distinct(), "leaking-rows")
+    rows = docs.withColumn(h, F.xxhash64("text"))
+    return rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (rows[h] == found["of"]), "left_anti").select(docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,13 @@ from .common import read_table
 
 TRAIN_PAGES = 200
 GENERATED_PAGES = 500
+#: Pages of more characters or blocks than these don't train; all are extracted.
+TRAIN_CHARS = 200_000
+TRAIN_BLOCKS = 400
 EPOCHS = 6
 HIDDEN = 12
+#: Blocks of the pages that are read together, padding included; a longer page is read by itself.
+PADDED_BLOCKS = 20_000
 PATH_DIM = 192
 WORD_DIM = 48
 DENSE_DIM = 12
@@ -38,7 +43,8 @@ BLOCK_TAGS = set(
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "select", "button")
+#: Elements whose text no reader sees or that are parts of forms.
+SILENT_TAGS = {"select", "button", "template", "datalist"}
 #: What opening one of these closes, if still open.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -46,8 +52,9 @@ CLOSES = {
 }
 CLOSES |= {t: {"p"} for t in BLOCK_TAGS - {"body", "head", "html", "li", "dt", "dd", "tr", "td", "th", "option", "tbody", "caption", "title"}}
 
+# script, style, textarea, title and iframe hold raw text up to their end tags; all other elements are ordinary
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
     r".*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -59,37 +66,76 @@ _PARTS = re.compile(r"[a-z]+")
 MARK = "\ue000"
 
 
+class Node:
+    """An open element: its names, the element above it, and the hashed names of all elements down to it."""
+
+    __slots__ = ("tag", "names", "above", "bits")
+
+    def __init__(self, tag: str, names: tuple[str, ...], above: Node | None) -> None:
+        self.tag, self.names, self.above = tag, names, above
+        self.bits = above.bits if above else 0
+        for n in names:
+            self.bits |= 1 << _hash(n, PATH_DIM)
+
+
 class Block:
-    """A leaf: its text, the names above it, and what share of it is in links."""
+    """A leaf: its text, the element it stands in, and what share of it is in links."""
+
+    __slots__ = ("text", "node", "linked")
+
+    def __init__(self, text: str, node: Node | None, linked: float) -> None:
+        self.text, self.node, self.linked = text, node, linked
+
+    @property
+    def tag(self) -> str:
+        return self.node.tag if self.node else ""
 
-    __slots__ = ("text", "path", "linked", "tags")
+    @property
+    def tags(self) -> tuple[str, ...]:
+        """The tags of the elements around it, from the outermost."""
+        return tuple(n.tag for n in self.upwards())[::-1]
 
-    def __init__(self, text: str, path: tuple[str, ...], tags: tuple[str, ...], linked: float) -> None:
-        self.text, self.path, self.tags, self.linked = text, path, tags, linked
+    def upwards(self) -> Iterator[Node]:
+        """The elements around it, from the innermost."""
+        node = self.node
+        while node:
+            yield node
+            node = node.above
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """Leaf blocks in page order. White space is one space, character references are decoded, empty blocks left out."""
+    """Leaf blocks in page order. White space is one space, character references are decoded, empty blocks left out.
+
+    Time and memory are linear in the page, however deep it nests.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    open_: dict[str, int] = {}
     parts: list[str] = []
-    links = all_ = 0
+    links = all_ = silent = 0
+
+    def pop() -> str:
+        nonlocal silent
+        tag = stack.pop().tag
+        open_[tag] -= 1
+        silent -= tag in SILENT_TAGS
+        return tag
 
     def flush() -> None:
         nonlocal links, all_
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, tuple(n for _, names in stack for n in names), tuple(t for t, _ in stack), links / max(1, all_)))
+            out.append(Block(text, stack[-1] if stack else None, links / max(1, all_)))
         parts.clear()
         links = all_ = 0
 
     def take(text: str) -> None:
         nonlocal links, all_
-        if text:
+        if text and not silent:
             parts.append(text)
             size = len(text.strip())
             all_ += size
-            if any(t == "a" for t, _ in stack):
+            if open_.get("a"):
                 links += size
 
     page = page or ""
@@ -102,10 +148,10 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if m[2]:
-            if any(t == tag for t, _ in stack):
+            if open_.get(tag):
                 if tag in BLOCK_TAGS:
                     flush()
-                while stack.pop()[0] != tag:
+                while pop() != tag:
                     pass
             elif tag in BLOCK_TAGS:
                 flush()
@@ -115,18 +161,23 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in BLOCK_TAGS:
             flush()
             shut = CLOSES.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK_TAGS and stack[i][0] != "p":
-                    break
-        if tag not in VOID_TAGS:
+            if any(open_.get(t) for t in shut):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].tag in shut:
+                        while len(stack) > i:
+                            pop()
+                        break
+                    if stack[i].tag in BLOCK_TAGS and stack[i].tag != "p":
+                        break
+        closed = m[4] and m[4].endswith("/") and tag not in BLOCK_TAGS  # as in <svg/> or <math/>
+        if tag not in VOID_TAGS and not closed:
             names = [tag]
             if m[4]:
                 for x in _NAMES.findall(m[4].lower()):
                     names += [f".{w}" for w in _PARTS.findall("".join(x))]
-            stack.append((tag, tuple(names)))
+            stack.append(Node(tag, tuple(names), stack[-1] if stack else None))
+            open_[tag] = open_.get(tag, 0) + 1
+            silent += tag in SILENT_TAGS
     rest = page[at:]
     cut = rest.rfind("<")
     take(rest[:cut] if cut >= 0 and ">" not in rest[cut:] and re.match(r"<[/a-zA-Z!]", rest[cut:]) else rest)  # a tag cut off at the end
@@ -141,9 +192,15 @@ def _hash(name: str, size: int) -> int:
 
 class Features:
     def __init__(self) -> None:
-        self._path: dict[tuple[str, ...], np.ndarray] = {}
+        self._path: dict[int, np.ndarray] = {}
         self._word: dict[str, int] = {}
 
+    def _ones(self, bits: int) -> np.ndarray:
+        found = self._path.get(bits)
+        if found is None:
+            found = self._path[bits] = np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(PATH_DIM // 8, "little"), np.uint8), bitorder="little"))
+        return found
+
     def __call__(self, blocks: list[Block], drop: np.random.Generator | None = None) -> np.ndarray:
         x = np.zeros((len(blocks), INPUT_DIM), np.float32)
         total = max(1, len(blocks))
@@ -151,26 +208,29 @@ class Features:
             self._path.clear()
             self._word.clear()
         for i, b in enumerate(blocks):
-            path = b.path
+            bits = b.node.bits if b.node else 0
             if drop is not None and drop.random() < 0.15:
-                path = tuple(n for n in path if drop.random() > 0.4)
-            if path not in self._path:
-                self._path[path] = np.unique([_hash(n, PATH_DIM) for n in path]).astype(int)
-            x[i, self._path[path]] = 1
+                bits = 0
+                for node in b.upwards():
+                    for n in node.names:
+                        bits |= (drop.random() > 0.4) << _hash(n, PATH_DIM)
+            x[i, self._ones(bits)] = 1
             words = b.text.split()
             known = self._word
             ids = []
             for w in words:
                 h = known.get(w)
                 if h is None:
-                    h = known[w] = _hash(w.lower(), WORD_DIM)
+                    h = _hash(w.lower(), WORD_DIM)
+                    if len(w) <= 64:  # so that what is remembered is bounded in bytes
+                        known[w] = h
                 ids.append(h)
             n = len(words)
             x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(ids, minlength=WORD_DIM) / n
             t = b.text
             x[i, PATH_DIM + WORD_DIM :] = (
                 np.log1p(n) / 5, b.linked, i / total, t.count(".") / n, t.count(",") / n, t[-1] in ".!?…", t[0].isupper(),
-                b.tags[-1:] == ("li",), b.tags[-1:] == ("p",), len(b.tags[-1:]) and re.fullmatch("h[1-6]", b.tags[-1]) is not None,
+                b.tag == "li", b.tag == "p", re.fullmatch("h[1-6]", b.tag) is not None,
                 n < 5, "©" in t,
             )
         return x
@@ -296,15 +356,19 @@ _MAIN_NAMES = set("article content post entry story main body text".split())
 
 def weak_label(b: Block) -> int | None:
     """1 or 0 where the containers tell: the innermost telling one decides; None otherwise."""
-    if b.tags[:1] == ("head",) or "head" in b.tags:
-        return 0
-    for n in reversed(b.path):
-        name = n.lstrip(".")
-        if n in _ASIDE or (n[0] == "." and name in _ASIDE_NAMES):
+    told = None
+    for node in b.upwards():
+        if node.tag == "head":
             return 0
-        if n in _MAIN or (n[0] == "." and name in _MAIN_NAMES):
-            return 1
-    return None
+        for n in reversed(node.names) if told is None else ():
+            name = n.lstrip(".")
+            if n in _ASIDE or (n[0] == "." and name in _ASIDE_NAMES):
+                told = 0
+            elif n in _MAIN or (n[0] == "." and name in _MAIN_NAMES):
+                told = 1
+            if told is not None:
+                break
+    return told
 
 
 def generated_page(rng: np.random.Generator) -> str:
@@ -356,6 +420,7 @@ def generated_page(rng: np.random.Generator) -> str:
         (0.3, top, box(pick("header", "div"), pick("header", "site-header", "masthead"), f"<a href='/'>{words(2)}</a><p>{sentence(rng.integers(2, 9))}</p>")),
         (0.6, top, box("div", pick("ad", "ads", "advertisement", "banner", "sponsor"), sentence(rng.integers(3, 15)))),
         (0.3, top, box("div", pick("cookie-notice", "consent", "notice", "popup"), f"<p>{sentence(rng.integers(5, 30))}</p><button>OK</button>")),
+        (0.1, top, f"<noscript>{sentence(rng.integers(3, 15))}</noscript>"),
         (0.3, top, box("div", pick("breadcrumb", "breadcrumbs"), f"<a href='/'>{words(1)}</a> &gt; <a href='/x'>{words(1)}</a>")),
         (0.3, bottom, box(pick("aside", "div"), pick("sidebar", "related", "widget"), f"<h3>{words(2)}</h3>" + links(rng.integers(2, 7)) + f"<p>{sentence(rng.integers(2, 25))}</p>")),
         (0.25, top, box(pick("aside", "div"), pick("sidebar", "widget"), f"<h3>{words(2)}</h3><p>{sentence(rng.integers(2, 25))}</p>")),
@@ -377,7 +442,9 @@ def training_set(pages: list[str], generated: int, seed: int = 11) -> list[tuple
             b.text = b.text.rstrip(MARK).rstrip() or "x"
         out.append((features(blocks, rng), y))
     for page in pages:
-        blocks = blocks_of(page)[:200]  # of a training page only
+        blocks = blocks_of(page)
+        if len(blocks) > TRAIN_BLOCKS:
+            continue
         told = [weak_label(b) for b in blocks]
         if blocks and None not in told and 0 < sum(told):
             out.append((features(blocks, rng), np.array(told, np.float32)))
@@ -385,8 +452,8 @@ def training_set(pages: list[str], generated: int, seed: int = 11) -> list[tuple
 
 
 def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, generated: int = GENERATED_PAGES) -> dict:
-    """The network's parameters. Reads at most ``train_pages`` pages of moderate length (smallest hashes of their ids)."""
-    some = pages.where("html is not null and length(html) <= 200000").select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
+    """The network's parameters. Reads at most ``train_pages`` pages of ``TRAIN_CHARS`` or fewer (smallest hashes of their ids)."""
+    some = pages.where(f"html is not null and length(html) <= {TRAIN_CHARS}").select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(train_pages)
     return fit(training_set([r["html"] for r in some.collect()], generated))
 
 
@@ -411,7 +478,7 @@ def extract(pages: DataFrame, params: dict, threshold: float = 0.5, batch: int =
                 while at < len(order):
                     # pages of like length together; long ones by themselves
                     longest, size = len(pages_[order[at]]) + 8, 0
-                    while at + size < len(order) and size < batch and len(pages_[order[at + size]]) <= longest:
+                    while at + size < len(order) and size < batch and len(pages_[order[at + size]]) <= longest and (not size or (size + 1) * longest <= PADDED_BLOCKS):
                         size += 1
                     group = order[at : at + size]
                     at += size

@@ -22,7 +22,9 @@ from .common import held_out, materialize, read_table
 
 DOCS_PER_LANG = 1000
 ROUNDS = 2
-LONGEST_WORD = 48
+#: Words up to this length can't underflow a double; longer ones are summed by logarithms, each time anew.
+SHORT_WORD = 24
+MAX_LANGS = 400
 UNKNOWN = 1e-9
 _LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -44,11 +46,12 @@ def read_pieces(path: str) -> list[str]:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters; longer ones are cut into runs of LONGEST_WORD, scored one by one."""
+    """Lower-cased runs of letters."""
     found = _LETTERS.findall((text or "").lower())
-    if found and max(map(len, found)) > LONGEST_WORD:
-        found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
-    return found
+    if all(map(str.isalpha, found)):
+        return found
+    # numbers such as one half or Roman eight are word characters without being letters
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 class Segmenter:
@@ -90,9 +93,25 @@ class Segmenter:
             alpha.append(now)
         return alpha
 
+    def _expected_by_logs(self, ends: list, lang: int) -> list[tuple[str, float]]:
+        alpha, beta = [0.0], [-math.inf] * len(ends) + [0.0]
+        with np.errstate(divide="ignore"):
+            logs = [[float(np.log(row[lang])) for _, row, _ in here] for here in ends]
+        for here, own in zip(ends, logs, strict=True):
+            alpha.append(float(np.logaddexp.reduce([alpha[start] + p for (start, _, _), p in zip(here, own, strict=True)])))
+        for end in range(len(ends), 0, -1):
+            for (start, _, _), p in zip(ends[end - 1], logs[end - 1], strict=True):
+                beta[start] = float(np.logaddexp(beta[start], p + beta[end]))
+        return [
+            (piece, math.exp(alpha[start] + p + beta[end] - alpha[-1]))
+            for end, (here, own) in enumerate(zip(ends, logs, strict=True), 1) for (start, _, piece), p in zip(here, own, strict=True) if piece
+        ]
+
     def expected(self, word: str, lang: int) -> list[tuple[str, float]]:
         """Expected number of uses of each piece in the word's segmentations, for one language."""
         ends = self.lattice(word)
+        if len(word) > SHORT_WORD:
+            return self._expected_by_logs(ends, lang)
         alpha = [a[lang] for a in self.forward(ends)]
         beta = [0.0] * len(alpha)
         beta[-1] = 1.0
@@ -122,6 +141,7 @@ class WordScores:
                 self._place.setdefault(p[:i], -1)  # a beginning of pieces
         self._place |= {p: i for i, p in enumerate(pieces)}
         self._table = np.vstack([table, np.full((1, table.shape[1]), UNKNOWN)])
+        self._logs = np.log(self._table)
         self._limit, self._known, self._rows = limit, {}, np.zeros((1024, table.shape[1]))
 
     def forward(self, words: list[str]) -> np.ndarray:
@@ -160,14 +180,34 @@ class WordScores:
             first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
             alpha[end, w[first]] = np.add.reduceat(alpha[begin[own], w] * self._table[piece[own]], first, axis=0)
         last = alpha[np.array([len(w) + 1 for w in words]), np.arange(len(words))]
-        with np.errstate(divide="ignore"):
-            return np.where(last > 0, np.log(last), -745.0)  # below the least positive double
+        return np.log(last)
+
+    def by_logs(self, word: str) -> np.ndarray:
+        """The row of a word of any length: the same sum by logarithms, which don't underflow."""
+        place, unknown, logs, text = self._place, len(self._table) - 1, self._logs, START + word
+        alpha = np.zeros((len(text) + 1, self._table.shape[1]))
+        begins: list[list[tuple[int, int]]] = [[] for _ in range(len(text) + 1)]
+        for i in range(len(text)):
+            single = False
+            for j in range(i + 1, len(text) + 1):
+                p = place.get(text[i:j])
+                if p is None:
+                    break
+                if p >= 0:
+                    begins[j].append((i, p))
+                    single |= j == i + 1
+            if not single:
+                begins[i + 1].append((i, unknown))
+        for end in range(1, len(text) + 1):
+            at, piece = zip(*begins[end], strict=True)
+            alpha[end] = np.logaddexp.reduce(alpha[list(at)] + logs[list(piece)], axis=0)
+        return alpha[-1]
 
     def learn(self, words: set[str]) -> None:
         """Make rows for the words that have none."""
         if len(self._known) > self._limit:
             self._known.clear()
-        new = sorted((w for w in words if w not in self._known), key=len)
+        new = sorted((w for w in words if len(w) <= SHORT_WORD and w not in self._known), key=len)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             n = len(self._known)
@@ -177,8 +217,13 @@ class WordScores:
             self._known.update(zip(part, range(n, n + len(part)), strict=True))
 
     def total(self, words: list[str]) -> np.ndarray:
-        """Sum of the words' rows; all have been learned."""
+        """Sum of the words' rows; all short ones have been learned."""
         out = np.zeros(self._rows.shape[1])
+        if max(map(len, words)) > SHORT_WORD:
+            for w in words:
+                if len(w) > SHORT_WORD:
+                    out += self.by_logs(w)
+            words = [w for w in words if len(w) <= SHORT_WORD]
         for at in range(0, len(words), 1 << 16):
             part = words[at : at + (1 << 16)]
             out += self._rows[np.fromiter(map(self._known.__getitem__, part), np.int64, len(part))].sum(axis=0)
@@ -209,14 +254,16 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([*total.values()], pa.int64())], names=["lang", "word", "n"])
 
 
-def train(docs: DataFrame, path: str | None = None, docs_per_lang: int = DOCS_PER_LANG, rounds: int = ROUNDS) -> dict:
+def train(docs: DataFrame, path: str | None = None, docs_per_lang: int = DOCS_PER_LANG, rounds: int = ROUNDS, max_langs: int = MAX_LANGS) -> dict:
     """{"langs", "pieces", "table" (log-free probabilities, piece by language), "prior"}.
 
-    Learns from rows with a text, a language and an id that isn't held out. Without any there is no language.
+    Learns from rows with a text, a language and an id that isn't held out; of more than ``max_langs`` values in ``lang`` the
+    commonest are learned (what is broadcast has a number a piece and language). Without any there is no language.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    counts = {r["lang"]: r["n"] for r in counts.collect()}
     langs = sorted(counts)
     pieces = read_pieces(path or default_pieces())
     if not langs:

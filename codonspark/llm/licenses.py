@@ -1,8 +1,9 @@
 """License scan: winnowed fingerprints pick candidates, banded alignment measures them (operator 10).
 
 Templates and texts become terms (case-folded runs of letters and digits). Every run of ``GRAM`` terms is hashed; of each
-``WINDOW`` consecutive hashes the least is a fingerprint, so any GRAM + WINDOW - 1 terms in common share one. The
-templates' fingerprints are an inverted index (a fixed, small table). A shared fingerprint proposes a template and a
+``WINDOW`` consecutive hashes the least is a fingerprint, so any GRAM + WINDOW - 1 terms in common share one. Templates
+under ``SHORT`` terms give all runs of two terms (one, for a single term) without winnowing: at the least coverage of 0.75
+some run of two is whole wherever terms are replaced. The templates' fingerprints are an inverted index (a fixed, small table). A shared fingerprint proposes a template and a
 diagonal; the text around it is aligned with the whole template within a band, and what covers enough of the template
 is reported. Of overlapping reports the one with the most matched terms stays. One pass, no shuffle.
 """
@@ -19,6 +20,7 @@ from .common import Remembered, mix64, read_table
 
 GRAM = 3
 WINDOW = 2
+SHORT = 12
 BAND = 8
 MIN_COVERAGE = 0.75
 
@@ -87,17 +89,28 @@ class Hashes:
 
         self._known = Remembered(xxhash.xxh64_intdigest)
 
-    def grams(self, terms: list[bytes]) -> np.ndarray:
-        """Hash of each run of GRAM terms."""
-        h = np.array(self._known.all(terms), np.uint64)
-        n = len(h) - GRAM + 1
+    def terms(self, terms: list[bytes]) -> np.ndarray:
+        return np.array(self._known.all(terms), np.uint64)
+
+    def grams(self, h: np.ndarray, size: int = GRAM) -> np.ndarray:
+        """Hash of each run of ``size`` terms, given theirs."""
+        n = len(h) - size + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        out = np.zeros(n, np.uint64)
-        for j in range(GRAM):
+        out = np.full(n, np.uint64(size))
+        for j in range(size):
             out = mix64(out + h[j : j + n])
         return out
 
+    def fingerprints(self, terms: list[bytes], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, place) of the fingerprints of a text: the winnowed runs of GRAM terms and all runs of the other sizes."""
+        h, found = self.terms(terms), []
+        for size in sizes:
+            own = self.grams(h, size)
+            at = winnow(own) if size == GRAM else np.arange(len(own))
+            found.append((own[at], at))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
 
 def winnow(hashes: np.ndarray) -> np.ndarray:
     """Places of the least hash (the last of equals) of each WINDOW consecutive hashes; of all if there are fewer."""
@@ -114,9 +127,10 @@ class Index:
         self.names = [n for n in sorted(templates) if terms_of(templates[n])]
         self.terms = [terms_of(templates[n]) for n in self.names]
         own, rows = Hashes(), []
+        size = [GRAM if len(terms) >= SHORT else min(2, len(terms)) for terms in self.terms]
+        self.sizes = tuple(sorted(set(size)))
         for t, terms in enumerate(self.terms):
-            h = own.grams(terms)
-            rows += [(int(h[i]), t, int(i)) for i in winnow(h)]
+            rows += [(int(h), t, int(i)) for h, i in zip(*own.fingerprints(terms, (size[t],)), strict=True)]
         rows.sort()
         self.hash = np.array([r[0] for r in rows], np.uint64)
         self.of, self.at = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
@@ -152,26 +166,35 @@ def align(template: list[bytes], part: list[bytes], diagonal: int, band: int = B
     return matched, score, start, len(template) + diagonal - band + c
 
 
+def band_of(template: list[bytes]) -> int:
+    """Terms that a notice may shift by: half of a short one, so that its neighbour isn't taken for it."""
+    return min(BAND, max(1, len(template) // 2))
+
+
 def scan_terms(terms: list[bytes], hashes: Hashes, index: Index, min_coverage: float) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched terms, start term, end term) of the notices in a text, by place."""
-    h = hashes.grams(terms)
-    at = winnow(h)
+    h, at = hashes.fingerprints(terms, index.sizes)
     if not len(at) or not len(index.hash):
         return []
-    low, high = np.searchsorted(index.hash, h[at], "left"), np.searchsorted(index.hash, h[at], "right")
-    spots: dict[tuple[int, int], int] = {}
+    low, high = np.searchsorted(index.hash, h, "left"), np.searchsorted(index.hash, h, "right")
+    diagonals: dict[int, set[int]] = {}
     for k in np.flatnonzero(high > low).tolist():
         for e in range(int(low[k]), int(high[k])):
-            diagonal = int(at[k]) - int(index.at[e])
-            # neighbours within half a band are one candidate
-            key = (int(index.of[e]), diagonal // (BAND // 2))
-            spots.setdefault(key, diagonal)
+            diagonals.setdefault(int(index.of[e]), set()).add(int(at[k]) - int(index.at[e]))
+    spots = []
+    for t, some in diagonals.items():
+        last, band = None, band_of(index.terms[t])
+        for d in sorted(some):  # a band takes in every diagonal within half its width of its own
+            if last is None or d > last + band // 2:
+                last = d
+                spots.append((t, d))
     found = []
-    for (t, _), diagonal in spots.items():
+    for t, diagonal in spots:
         template = index.terms[t]
-        base = max(0, diagonal - BAND)
-        part = terms[base : max(0, diagonal) + len(template) + BAND]
-        matched, score, start, end = align(template, part, diagonal - base)
+        band = band_of(template)
+        base = max(0, diagonal - band)
+        part = terms[base : max(0, diagonal) + len(template) + band]
+        matched, score, start, end = align(template, part, diagonal - base, band)
         if matched >= min_coverage * len(template):
             found.append((score, matched, t, base + start, base + end))
     found.sort(key=lambda x: (-x[0], -x[1], x[2], x[3]))
@@ -190,7 +213,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
     end_term (terms of the text, end exclusive).
 
     Null and empty texts hold none. A null doc_id is reported as null, repeated rows each by itself. Templates without
-    terms are ignored; of equal matches the first template by name is reported. Other columns are ignored.
+    terms are ignored; of equal matches the first template by name is reported. Texts of any length are scanned whole; an empty
+    table gives no rows; other columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates
 

@@ -2,8 +2,8 @@
 
 Two logistic regressions see different sides of a document: measures of its text, and its metadata (source, language,
 length). Both start from a bounded sample of labelled rows. In each round either one labels the unlabelled rows it is
-surest of for the other. At the end each is calibrated on labelled rows it was not fitted on, and the log odds are added
-(less the prior, which both contain). Features are made by the executors; the driver sees a bounded table of numbers.
+surest of for the other. At the end both are calibrated side by side on labelled rows they were not fitted on, and their scaled log
+odds are added. Features are made by the executors; the driver sees a bounded table of numbers.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def meta_places(source: str | None, lang: str | None, n_chars: int | None) -> li
     return [
         zlib.crc32(f"s{source}".encode()) % SOURCE_BUCKETS,
         SOURCE_BUCKETS + zlib.crc32(f"l{lang}".encode()) % LANG_BUCKETS,
-        SOURCE_BUCKETS + LANG_BUCKETS + (0 if n_chars is None else min(LENGTH_BUCKETS - 1, 1 + int(math.log2(1 + max(0, n_chars))) // 2 * 2 // 2)),
+        SOURCE_BUCKETS + LANG_BUCKETS + (0 if n_chars is None else min(LENGTH_BUCKETS - 1, 1 + int(math.log2(1 + max(0, n_chars))) // 2)),
     ]
 
 
@@ -80,7 +80,8 @@ def _views(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text, meta = _views(b)
-        yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["label", "text", "meta"])
+        columns = [b.column("doc_id").cast(pa.int64()), b.column("label"), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "text", "meta"])
 
 
 class Logistic:
@@ -108,16 +109,35 @@ def _logit(fitted: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
     return np.clip((x - mean) / scale @ w[:-1] + w[-1], -20, 20)
 
 
-def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that fit the logits to the labels."""
-    one = Logistic().fit(z[:, None], y, np.ones(len(y)), l2=1.0)
-    a = float(one.w[0] / one.scale[0])
-    return max(0.0, a), float(one.w[1] - one.w[0] / one.scale[0] * one.mean[0])
-
-
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> dict:
-    """Both views after exchanging pseudo-labels; every fourth labelled row is kept for calibration."""
-    calibrate = np.arange(len(y)) % 4 == 3
+def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[list[float], float]:
+    """Slopes (not below zero) and offset that fit the views' logits, side by side, to the labels. A view that says nothing beyond
+    the other gets a slope near zero."""
+    use = list(range(z.shape[1]))
+    while True:
+        one = Logistic().fit(z[:, use], y, np.ones(len(y)), l2=0.1)
+        slopes = one.w[:-1] / one.scale
+        if len(use) == 1 or (slopes >= 0).all():
+            break
+        del use[int(slopes.argmin())]
+    out = np.zeros(z.shape[1])
+    out[use] = np.maximum(slopes, 0)
+    return out.tolist(), float(one.w[-1] - slopes @ one.mean)
+
+
+def set_aside(ids: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The labelled rows kept for calibration: a quarter, by the hash of the id. All rows both train and calibrate where
+    either part would lack a kind of label."""
+    part = np.array([zlib.crc32(f"calibrate{i}".encode()) % 4 == 3 for i in ids], bool)
+    both = all(len(np.unique(x)) == 2 for x in (y[part], y[~part]))
+    return part if both else np.ones(len(y), bool)
+
+
+def co_train(ids: np.ndarray, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> dict:
+    """Both views after exchanging pseudo-labels, calibrated on the rows set aside."""
+    calibrate = set_aside(ids, y)
+    if calibrate.all():
+        ids, text, meta, y = (np.concatenate([x, x]) for x in (ids, text, meta, y))
+        calibrate = np.arange(len(y)) < len(y) // 2
     views, pools = [text[~calibrate], meta[~calibrate]], [pool_text, pool_meta]
     base = y[~calibrate]
     rows = [[v] for v in views]
@@ -146,16 +166,16 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
         if not moved:
             break
         models = fitted()
-    odds = math.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3))
-    fits = [_calibrate(m.logit(x[calibrate]), y[calibrate]) for m, x in zip(models, (text, meta), strict=True)]
+    z = np.stack([m.logit(x[calibrate]) for m, x in zip(models, (text, meta), strict=True)], axis=1)
+    slopes, offset = _calibrate(z, y[calibrate])
     # arrays only: what is broadcast must not need this package where it is read
-    return {"models": [(m.mean, m.scale, m.w) for m in models], "fits": fits, "prior": odds}
+    return {"models": [(m.mean, m.scale, m.w) for m in models], "slopes": slopes, "offset": offset}
 
 
 def combined(model: dict, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
     if model["models"] is None:
         return np.full(len(text), model["score"])
-    z = -model["prior"] + sum(a * _logit(m, x) + b for m, (a, b), x in zip(model["models"], model["fits"], (text, meta), strict=True))
+    z = model["offset"] + sum(a * _logit(m, x) for m, a, x in zip(model["models"], model["slopes"], (text, meta), strict=True))
     return 1 / (1 + np.exp(-z))
 
 
@@ -168,14 +188,16 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     pool = rows.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id").join(told, "doc_id", "left_anti").distinct()
     pool = pool.orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled).withColumn("label", F.lit(None).cast("int"))
     ids = materialize(some.unionByName(pool), "quality-ids")
-    got = rows.join(F.broadcast(ids), "doc_id").select("label", "text", "source", "lang", "n_chars").mapInArrow(_extract, "label int, text binary, meta binary").toPandas()
+    got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text", "source", "lang", "n_chars").mapInArrow(_extract, "doc_id long, label int, text binary, meta binary")
+    # one row an id, in the order of ids: the model is a function of the tables, whatever the order of their rows
+    got = got.groupBy("doc_id", "label").agg(F.min(F.struct("text", "meta")).alias("x")).select("doc_id", "label", "x.text", "x.meta").toPandas().sort_values("doc_id")
     text = np.stack([np.frombuffer(x, np.float32) for x in got["text"]]) if len(got) else np.zeros((0, TEXT_DIM))
     meta = np.stack([np.frombuffer(x, np.float32) for x in got["meta"]]) if len(got) else np.zeros((0, META_DIM))
     known = got["label"].notna().to_numpy()
     y = got["label"].to_numpy(float)[known] if len(got) else np.zeros(0)
-    if len(y) < 8 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return {"models": None, "score": float((y.sum() + 1) / (len(y) + 2))}
-    return co_train(text[known], meta[known], y, text[~known], meta[~known])
+    return co_train(got["doc_id"].to_numpy()[known], text[known], meta[known], y, text[~known], meta[~known])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -192,7 +214,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def assess(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, held_out, score, keep) of each row of ``docs``."""
+    """(doc_id, held_out, score, keep) of each row of ``docs``. Empty tables give no rows; of several rows of one id the least by
+    its features teaches; a score equal to the threshold is kept."""
     return score(docs, train(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).alias("keep"))
 
 

@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios (operator 6).
 
 Training reads at most ``train_rows`` labelled documents (the smallest hashes of their ids; whole texts). Counts of
-rows per class and n-gram are summed by Spark; n-grams seen in enough toxic rows and with a large enough ratio stay.
-A logistic regression on presence times ratio is fitted on the kept n-grams of those rows, a few ids per row.
+rows per class and n-gram are summed by Spark. The n-grams whose ratio, for either class, is ``MIN_Z`` of its own standard
+errors away from none stay: a rule without a limit on their number that holds for few rows as for many. A logistic regression on
+presence times ratio is fitted on them.
 Scoring is one pass without a shuffle.
 """
 
@@ -19,10 +20,8 @@ from .common import held_out, materialize, read_table
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
-TRAIN_ROWS = 20_000
-MIN_ROWS = 8
-MIN_RATIO = 2.5
-MAX_FEATURES = 40_000
+TRAIN_ROWS = 8_000
+MIN_Z = 2.5
 THRESHOLD = 0.3
 
 _P = np.uint64(0x100000001B3)
@@ -78,7 +77,7 @@ def _rows(kept: np.ndarray):
     return run
 
 
-def _fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, ratio: np.ndarray, l2: float = 0.5, steps: int = 400) -> tuple[np.ndarray, float]:
+def _fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, ratio: np.ndarray, l2: float = 0.5, steps: int = 200) -> tuple[np.ndarray, float]:
     """Logistic regression on x = ratio[col] for each present (row, col); Adam on all rows."""
     n, d = len(y), len(ratio)
     w, b = np.zeros(d), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
@@ -102,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows:
     """Model from labelled rows that are not held out: {"weight": float32 table by n-gram index, "bias": float}.
 
     Null ids, null labels and null texts teach nothing; without labelled rows of both kinds all texts score the share of ones.
-    Several labels of one id: the largest counts. Only doc_id and the label are read from ``labels``.
+    Several labels of one id: the largest counts; of several texts of one id the least teaches. Only doc_id and the label are read from ``labels``.
     """
     some = (
         labels.where(f"doc_id is not null and {label} is not null").where(~held_out(F.col("doc_id")))
@@ -110,8 +109,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     )
     # at most train_rows pairs of numbers: small enough to send everywhere whatever the corpus
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select("text", "label")
-    sample = materialize(sample.repartition(8), "toxicity-sample")
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
+    # one row an id, the least of its texts
+    sample = materialize(sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label").repartition(8), "toxicity-sample")
     total = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
     weight = np.zeros(1 << BITS, np.float32)
@@ -119,8 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows:
         return {"weight": weight, "bias": float(np.log((n1 + 1) / (n0 + 1)))}
     counts = sample.mapInArrow(_count, "gram int, ones long, zeros long").groupBy("gram").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     ratio = F.log((F.col("ones") + 0.5) / (n1 + 1)) - F.log((F.col("zeros") + 0.5) / (n0 + 1))
-    counts = counts.where(F.col("ones") >= min(MIN_ROWS, max(1, n1 // 20))).withColumn("ratio", ratio).where(f"ratio >= {MIN_RATIO}")
-    chosen = counts.orderBy((F.col("ratio") * F.sqrt("ones")).desc(), "gram").limit(MAX_FEATURES).select("gram", "ratio").toPandas()
+    error = F.sqrt(1 / (F.col("ones") + 0.5) + 1 / (F.col("zeros") + 0.5))
+    chosen = counts.withColumn("ratio", ratio).where(F.abs("ratio") >= error * MIN_Z).select("gram", "ratio").toPandas().sort_values("gram")  # at most 2 ** BITS
     grams, ratios = chosen["gram"].to_numpy(np.int64), chosen["ratio"].to_numpy(float)
     if not len(grams):
         return {"weight": weight, "bias": float(np.log((n1 + 1) / (n0 + 1)))}
@@ -165,7 +165,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose texts score below the threshold, with all their columns."""
+    """The rows of ``docs`` whose texts score below the threshold, with all their columns.
+
+    A null or empty text scores the model's bias, which is low unless most labels are toxic; a null id or a repeated row changes
+    nothing; a score equal to the threshold goes. An empty table gives an empty one.
+    """
     model = train(docs, labels)
     sent, kinds = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 

@@ -146,3 +146,103 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == packed.count()
+
+
+def test_quality_is_a_function_of_its_tables(spark):
+    rnd = __import__("random").Random(3)
+    rows, told = [], []
+    for i in range(160):
+        good = i % 2 == 0
+        text = " ".join(rnd.choices(["plain", "words", "here,", "And", "so."] if good or rnd.random() < 0.2 else ["buy!!", "$$$", "###", "now"], k=rnd.randint(3, 60)))
+        rows.append((i, text, "en", f"s{i % 3}", len(text), "x"))
+        if i < 90:
+            told.append((i, int(good if rnd.random() < 0.9 else not good), 0))
+    rows += [(200, None, None, None, None, "x"), (None, "plain words", "en", "s1", 11, "x"), (3, "another text of one id", "en", "s1", 3, "x"), rows[0], (201, "long " * 100_000, "en", "s1", 1, "x")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, label string"
+    docs, labels = spark.createDataFrame(rows, kind), spark.createDataFrame(told, "doc_id long, quality int, toxic int")
+    told_of = lambda df: sorted((str(r["doc_id"]), r["held_out"], round(r["score"], 9), r["keep"]) for r in df.collect())
+    one = told_of(quality.assess(docs, labels))
+    rnd.shuffle(rows)
+    rnd.shuffle(told)
+    docs2, labels2 = spark.createDataFrame(rows, kind).repartition(5, "n_chars"), spark.createDataFrame(told, "doc_id long, quality int, toxic int").repartition(3)
+    assert told_of(quality.assess(docs2, labels2)) == one and len(one) == len(rows)
+    few = labels.where("doc_id in (0, 1, 4, 5)")
+    assert quality.assess(docs, few).select("score").distinct().count() > 1  # co-trained, however few the labels
+    assert quality.assess(docs.limit(0), labels).count() == 0
+
+
+def test_symbols_that_are_not_letters(spark):
+    rows = [(4, "\u00bd \u00b2 \u2167 \u2460 12"), (4, None), (5, "une \u00bd phrase de mots"), (None, "the words of it"), (8, "the words of it"), (9, "les mots et les phrases"), (12, "a" * 40 + " " + "\u0416" * 60)]
+    rows += [(d, t) for d, t in rows if t][:2]
+    docs = spark.createDataFrame([(d, t, "fr" if d == 9 else "en" if d == 8 else None, "x") for d, t in rows], "doc_id long, text string, lang string, score string")
+    got = language.identify(docs).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got if r["doc_id"] == 4} == {"und"}
+    assert all(r["lang_pred"] in ("en", "fr") and 0 <= r["score"] <= 1 for r in got if r["doc_id"] != 4)
+    assert language.words_of("a\u00bdb c\u2167 \u00b2") == ["a", "b", "c"]
+
+
+def test_long_words_are_summed_whole():
+    pieces = ["\u2581", "a", "b", "ab", "\u2581ab", "abb"]
+    table = np.random.default_rng(1).random((6, 2))
+    scores = language.WordScores(pieces, table)
+    for word in ("ab", "abbab" * 4):
+        assert np.allclose(scores.by_logs(word), scores.forward([word])[0])
+    # forty unknown letters: the word's start and forty small probabilities
+    assert np.allclose(scores.by_logs("x" * 40), np.log(table[0]) + 40 * np.log(language.UNKNOWN))
+    scores.learn({"ab", "x" * 400})
+    assert np.allclose(scores.total(["ab", "x" * 400]), scores.forward(["ab"])[0] + np.log(table[0]) + 400 * np.log(language.UNKNOWN))
+    seg = language.Segmenter(pieces, table / table.sum(axis=0))
+    ends = seg.lattice("abbab" * 3)
+    one, two = dict.fromkeys(pieces, 0.0), dict.fromkeys(pieces, 0.0)
+    for p, x in seg.expected("abbab" * 3, 1):
+        one[p] += x
+    for p, x in seg._expected_by_logs(ends, 1):
+        two[p] += x
+    assert all(abs(one[p] - two[p]) < 1e-9 for p in pieces)
+
+
+def test_html_keeps_what_readers_see():
+    texts = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert texts("<p>Energy is <math><mi>E</mi>=<mn>2</mn></math> here <svg/> and <object data=x>more</object> text") == ["Energy is E=2 here and more text"]
+    assert texts("<p>a<button>Go</button><select><option>1</select><button-group> b</button-group>") == ["a", "b"]
+    for n in (100_000,):
+        t = __import__("time").time()
+        assert len(html_text.blocks_of("<div class='a b'>" * n + "x" + "</div>" * n)) == 1 and len(html_text.blocks_of("<div><b>t" * n)) == n
+        assert __import__("time").time() - t < 30
+
+
+def test_html_tables_of_odd_rows(spark):
+    params = html_text.init_params()
+    pages = spark.createDataFrame([(1, None, None, "x"), (1, "u", "", "x"), (None, "u", "<p>a", "x"), (2, "u", "<p>" + "long " * 50_000, "x"), (2, "u", "<p>" + "long " * 50_000, "x")], "page_id long, url string, html string, text string")
+    got = html_text.extract(pages, params).collect()
+    assert len(got) == 5 and all(r["n_chars"] == len(r["text"]) for r in got) and {r["text"] for r in got if r["page_id"] == 1} == {""}
+    assert html_text.extract(pages.limit(0), params).count() == 0
+
+
+def test_toxicity_table_against_brute_force(spark):
+    """The kept n-grams and ratios from counts made by hand; repeated rows and several texts of one id teach once."""
+    rnd = __import__("random").Random(5)
+    rows = [(i, " ".join(rnd.choices(["vile", "awful", "good"] if i % 3 == 0 else ["good", "fine", "nice"], k=rnd.randint(5, 30)))) for i in range(120)]
+    docs = spark.createDataFrame([*[(d, t, 0) for d, t in rows], *[(d, t, 0) for d, t in rows[:30]], (7, "zzz later text", 0)], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(d, int(d % 3 == 0)) for d, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    import zlib
+
+    used = [(d, t) for d, t in rows if zlib.crc32(str(d).encode()) % 4 != 2]
+    count = {0: {}, 1: {}}
+    for d, t in used:
+        for g in toxicity.distinct_grams(t).tolist():
+            count[int(d % 3 == 0)][g] = count[int(d % 3 == 0)].get(g, 0) + 1
+    n1 = sum(d % 3 == 0 for d, _ in used)
+    n0 = len(used) - n1
+    want = set()
+    for g in {*count[0], *count[1]}:
+        a, b = count[1].get(g, 0) + 0.5, count[0].get(g, 0) + 0.5
+        ratio = np.log(a / (n1 + 1)) - np.log(b / (n0 + 1))
+        if abs(ratio) >= toxicity.MIN_Z * np.sqrt(1 / a + 1 / b):
+            want.add(g)
+    assert set(np.flatnonzero(model["weight"]).tolist()) == want
+    out = toxicity.classify(docs, labels).collect()
+    assert len(out) == 151 and all(r["predicted"] == int(r["score"] >= toxicity.THRESHOLD) for r in out)
+    kept = toxicity.keep_clean(docs.unionByName(docs.limit(2)), labels)
+    assert kept.columns == docs.columns

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from codonspark.llm import ann, decontamination, licenses
 
@@ -88,7 +89,8 @@ def test_leaks_whatever_the_rank(spark):
         docs.append((d, " ".join(words)))
     table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     half, want = decontamination.HALF, {}
-    for i, own in decontamination.content_terms(items, decontamination.MAX_ITEM_DF):
+    common = decontamination.common_terms(bench, decontamination.MAX_ITEM_DF)
+    for i, own in decontamination.content_terms(items, common):
         places = {}
         for k, t in enumerate(own):
             places[t] = places.get(t, 0) | 1 << k
@@ -141,3 +143,76 @@ def test_winnowing_guarantee():
         for i in range(len(h) - licenses.WINDOW + 1):
             w = h[i : i + licenses.WINDOW]
             assert any(i <= a < i + licenses.WINDOW and h[a] == w.min() for a in at)
+
+
+def test_svd_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = {f"t{i}".encode(): i for i in range(30)}
+    topics = rng.random((4, 30)) ** 6
+    texts = [" ".join(f"t{j}" for j in rng.choice(30, 32, p=topics[k % 4] / topics[k % 4].sum())) for k in range(300)]
+    a = np.zeros((300, 30))
+    for r, t in enumerate(texts):
+        for w in t.split():
+            a[r, vocabulary[w.encode()]] += 1
+    idf = np.linspace(0.5, 2, 30)
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, h long")
+    hits = docs.mapInArrow(decontamination._hits(vocabulary), decontamination._HITS)
+    basis, values = decontamination.truncated_svd(hits, np.zeros((1, 30), np.float32), idf, 12)
+    want = np.linalg.svd(a * idf)[1]
+    assert np.allclose(values[:4], want[:4], rtol=0.01) and np.allclose(basis.T @ basis, np.eye(12), atol=1e-6)
+
+
+def test_terms_of_an_item_do_not_depend_on_its_block(spark):
+    items = [(i, f"alpha beta gamma delta epsilon w{i} v{i} " + ("shared " * (i < 3))) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    common = decontamination.common_terms(bench, decontamination.MAX_ITEM_DF)
+    assert common == {b"alpha", b"beta", b"gamma", b"delta", b"epsilon"}
+    for size in (4, 1000):
+        own = [x for block in decontamination._blocks(bench, common, size) for x in block]
+        assert own == decontamination.content_terms(items, common)
+
+
+def test_clean_rows_without_an_id_stay(spark):
+    item = "quick brown foxes jumped over eleven lazy sleeping dogs yesterday"
+    rows = [(None, f"intro {item} outro"), (None, "nothing of the kind in here"), (5, item), (5, "clean text with the same id"), (6, None), (6, "")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, h string")
+    bench = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    got = decontamination.drop_leaks(docs, bench)
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.where("text is null or text not like '%foxes%'").collect()))
+    assert decontamination.drop_leaks(docs, bench.limit(0)).count() == 6
+
+
+@pytest.mark.parametrize("shift,scale", [(0, 1), (1e4, 1), (0, 1e20), (-3e3, 1e-3), (0, 1e200)])
+def test_recall_at_any_place_and_scale(spark, shift, scale):
+    rng = np.random.default_rng(4)
+    x = (rng.standard_normal((600, 32)) + shift) * scale
+    x[7] = x[8]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.nearest(df, df.where("vec_id % 25 = 0")).collect()
+    hit = 0
+    for q in range(0, 600, 25):
+        far = np.sqrt((((x - x[q]) / scale) ** 2).sum(axis=1))
+        far[q] = np.inf
+        hit += len(set(np.lexsort((np.arange(600), far))[:10].tolist()) & {r["vec_id"] for r in rows if r["query_id"] == q})
+    assert hit / 240 >= 0.95 and all(np.isfinite(r["score"]) for r in rows)
+
+
+def test_short_templates(spark):
+    own = {"ISC (line)": "ISC License", "One": "Beerware", "MIT (line)": "Released under the MIT License."}
+    rows = [(1, "see the ISC License for more"), (2, "this is Beerware."), (3, "Released under our MIT License, as ever"), (4, "nothing"), (4, None), (None, "isc license isc license")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, license string")
+    got = sorted(((r["doc_id"] or 0, r["license"], r["matched_terms"]) for r in licenses.scan(docs, own).collect()))
+    assert got == [(0, "ISC (line)", 2), (0, "ISC (line)", 2), (1, "ISC (line)", 2), (2, "One", 1), (3, "MIT (line)", 4)]
+    long = spark.createDataFrame([(1, "filler " * 200_000 + licenses.TEMPLATES["MIT"] + " filler" * 1000)], "doc_id long, text string")
+    assert [r["license"] for r in licenses.scan(long).collect()] == ["MIT"]
+
+
+def test_replaced_terms_of_short_notices_are_found_wherever_they_are():
+    index, hashes = licenses.Index(licenses.TEMPLATES), licenses.Hashes()
+    for name, terms in zip(index.names, index.terms):
+        if len(terms) < licenses.SHORT:
+            for k in range(len(terms) if len(terms) - 1 >= licenses.MIN_COVERAGE * len(terms) else 0):
+                text = [b"x", b"y", *terms[:k], b"zz", *terms[k + 1 :], b"x"]
+                found = licenses.scan_terms(text, hashes, index, licenses.MIN_COVERAGE)
+                assert any(f[2] >= len(terms) - 1 for f in found), (name, k)
