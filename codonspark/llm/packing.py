@@ -63,6 +63,9 @@ class Tokens:
     space, or with an added token's string, are encoded whole by ``tokenizers``.
     """
 
+    #: Chunks of more characters are encoded each time anew.
+    LONG = 64
+
     _whole = re.compile(r"\s (?:\s|\Z)|\A (?:\s|\Z)")
     _pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -98,6 +101,8 @@ class Tokens:
             word, mark = chunk[:-1], self._marks.get(chunk[-1:])
             if mark and word.isalpha():
                 ids = self._known.get(word)
+                if ids is None and len(word) > self.LONG:
+                    return array("I", self._piece((" " + word).encode())).tobytes() + mark
                 if ids is None:
                     ids = self._known[word] = array("I", self._piece((" " + word).encode())).tobytes()
                 return ids + mark
@@ -115,7 +120,9 @@ class Tokens:
         for c in rest:
             ids = known.get(c)
             if ids is None:
-                ids = known[c] = self._after_space(c)
+                ids = self._after_space(c)
+                if len(c) <= self.LONG:  # so that what is remembered is bounded in bytes
+                    known[c] = ids
             add(ids)
         return b"".join(out)
 
