@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalars import GENETIC_CODE, select_once
+from .sources.alignments import spread
 
 #: Steps of (name, expression); each step sees the names of those before it.
 STEPS = [
@@ -65,7 +66,7 @@ def _expressions(engine: str) -> list[dict[str, str]]:
 
 def alignment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(shard_id, value, overlap_id): lines; ``overlap_id`` is another split, in which shards share accessions."""
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    df = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus"))
     for step in _expressions("spark"):
         df = df.select("*", *(F.expr(e).alias(k) for k, e in step.items()))
     overlap = F.concat(F.lit("half"), (F.col("okey") % 2).cast("string")).alias("overlap_id")

@@ -6,10 +6,12 @@ out of the contig once.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import AMINO_ACIDS, FOLDED_FROM, FOLDED_TO, GENETIC_CODE
+from .scalars import FOLDED_FROM, FOLDED_TO, GENETIC_CODE
 
 # parsing ends at the first operation without a length, with length zero, or at the end of the text
 _RUN = r"^((?:0*[1-9][0-9]*[^0-9])*)"
@@ -38,7 +40,10 @@ def match_segments(cigar: Column, span: Column) -> Column:
             F.when((op == "M") & (h < span), F.concat(acc["segs"], F.array(seg))).otherwise(acc["segs"]).alias("segs"),
         )
 
-    return F.aggregate(tokens, start, step, lambda acc: acc["segs"])
+    # a single run of matches, the commonest text, needs no parsing
+    whole = F.regexp_extract(cigar, r"^([0-9]{1,9})M$", 1).try_cast("bigint")
+    one = F.array(F.struct(long(F.lit(0)).alias("h"), long(F.lit(0)).alias("q"), F.least(whole, span).alias("n")))
+    return F.when((whole > 0) & (span > 0), one).otherwise(F.aggregate(tokens, start, step, lambda acc: acc["segs"]))
 
 
 def codon_at(nt: Column, qstart: Column, minus: Column, q: Column) -> Column:
@@ -49,35 +54,54 @@ def codon_at(nt: Column, qstart: Column, minus: Column, q: Column) -> Column:
     return F.when(minus, back).otherwise(plus)
 
 
-def observations(segs: Column, qseq: Column, nt: Column, qstart: Column, minus: Column, max_offset: int | None) -> Column:
-    """array<struct<off int, codon_idx int>> of the positions whose codon is ACGT and encodes the aligned residue.
+def _by_digits() -> Column:
+    """The residues of all codons as an array, by the codon's bases as decimal digits 0..3; empty at stops and other numbers."""
+    table = [""] * 334
+    for i, (digits, aa) in enumerate(zip(itertools.product(range(4), repeat=3), GENETIC_CODE, strict=True)):
+        table[digits[0] * 100 + digits[1] * 10 + digits[2]] = "" if aa == "*" else aa
+    return F.array(*map(F.lit, table))
 
-    Stops, ambiguous bases, residues without a code, mismatches and offsets of ``max_offset`` and more drop out.
-    """
 
-    def position(seg: Column, k: Column) -> Column:
-        q = seg["q"] + k
-        return F.struct(
-            (seg["h"] + k).cast("int").alias("off"),
-            codon_at(nt, qstart, minus, q).alias("codon"),
-            F.translate(F.substr(qseq, (q + 1).cast("int"), F.lit(1)), FOLDED_FROM, FOLDED_TO).alias("aa"),
-        )
+def _number(digits: Column) -> Column:
+    """0..63 from three decimal digits 0..3."""
+    return (F.floor(digits / 100) * 16 + F.floor(digits / 10) % 10 * 4 + digits % 10).cast("int")
 
-    every = F.flatten(F.transform(segs, lambda s: F.transform(F.sequence(F.lit(0).cast("bigint"), s["n"] - 1), lambda k: position(s, k))))
-    base = lambda p, i: F.instr(F.lit("ACGT"), F.substr(p["codon"], F.lit(i), F.lit(1)))
-    # a base that is none of ACGT makes the product zero
-    indexed = F.transform(
-        every,
-        lambda p: F.struct(
-            p["off"].alias("off"),
-            F.when(base(p, 1) * base(p, 2) * base(p, 3) > 0, base(p, 1) * 16 + base(p, 2) * 4 + base(p, 3) - 21).alias("codon_idx"),
-            p["aa"].alias("aa"),
-        ),
-    )
 
-    def good(p: Column) -> Column:
-        fits = (F.substr(F.lit(GENETIC_CODE), p["codon_idx"] + 1, F.lit(1)) == p["aa"]) & (F.instr(F.lit(AMINO_ACIDS), p["aa"]) > 0)
-        fits = p["codon_idx"].isNotNull() & (F.length(p["aa"]) == 1) & fits
-        return fits if max_offset is None else fits & (p["off"] < max_offset)
+def query_codons(nt: Column, qseq: Column, qstart: Column, minus: Column) -> Column:
+    """array<string>: the codon of each query residue in the contig, its bases ACGT as the digits 0123. Only the aligned stretch is cut out, once, and turned once on
+    the minus strand; codons that don't lie within the contig are missing at the end or hold N at the beginning."""
+    size = F.length(qseq) * 3
+    plus = F.when(qstart >= 1, F.translate(F.substr(nt, qstart.cast("int"), size), "ACGT0123", "0123NNNN"))
+    begin = F.greatest(F.lit(1), qstart - size + 1)
+    turned = F.translate(F.reverse(F.substr(nt, begin.cast("int"), (qstart - begin + 1).cast("int"))), "ACGT0123", "3210NNNN")
+    beyond = F.least(size, F.greatest(F.lit(0), qstart - F.length(nt))).cast("int")
+    back = F.when(qstart >= 1, F.concat(F.repeat(F.lit("N"), beyond), turned))
+    return F.regexp_extract_all(F.when(minus, back).otherwise(plus), F.lit("(?s)..."), F.lit(0))
+
+
+def residue_codons(nt: Column, qseq: Column, qstart: Column, minus: Column) -> Column:
+    """array<int>: by query residue, the digits of its codon if the codon is ACGT and encodes the residue (ambiguity letters
+    folded), else null. A lookup by number, since searching a string costs its length."""
+    letters = F.regexp_extract_all(F.translate(qseq, FOLDED_FROM, FOLDED_TO), F.lit("(?s)."), F.lit(0))
+    digits = F.transform(query_codons(nt, qseq, qstart, minus), lambda c: c.try_cast("int"))
+    table = _by_digits()
+    return F.zip_with(digits, letters, lambda c, aa: F.when(F.get(table, c) == aa, c))
+
+
+def observations(segs: Column, codes: Column, max_offset: int | None) -> Column:
+    """array<struct<off int, codon_idx int>> of the positions whose codon is ACGT and encodes the aligned residue.
+
+    ``codes``: a column of ``residue_codons``. Stops, ambiguous bases, residues without a code, mismatches and offsets of
+    ``max_offset`` and more drop out.
+    """
+    place = lambda s: lambda code, i: F.struct((s["h"] + i).cast("int").alias("off"), code.alias("code"))
+    every = F.flatten(F.transform(segs, lambda s: F.transform(F.slice(codes, (s["q"] + 1).cast("int"), s["n"].cast("int")), place(s))))
+    good = lambda p: p["code"].isNotNull() if max_offset is None else p["code"].isNotNull() & (p["off"] < max_offset)
+    return F.transform(F.filter(every, good), lambda p: F.struct(p["off"].alias("off"), _number(p["code"]).alias("codon_idx")))
+
 
-    return F.transform(F.filter(indexed, good), lambda p: F.struct(p["off"].alias("off"), p["codon_idx"].alias("codon_idx")))
+def any_observation(segs: Column, codes: Column, max_offset: int | None) -> Column:
+    """Whether ``observations`` would hold any: stops at the first one."""
+    cut = lambda s: s["n"] if max_offset is None else F.least(s["n"], F.greatest(F.lit(0), max_offset - s["h"]))
+    one = lambda s: F.exists(F.slice(codes, (s["q"] + 1).cast("int"), cut(s).cast("int")), lambda c: c.isNotNull())
+    return F.exists(segs, one)

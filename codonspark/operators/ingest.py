@@ -41,23 +41,38 @@ def reject_reason(min_pident: float = 0.0, max_evalue: float = 1.0) -> Column:
     )
 
 
-def align(parsed: DataFrame, acc: str = "auto", min_pident: float = 0.0, max_evalue: float = 1.0, max_offset: int | None = MAX_OFFSET, keep_empty: bool = False) -> DataFrame:
+_KEPT = ["shard_id", "qseqid", "sseqid", "qstrand", "qstart", "qend", "qlen", "sstart", "send", "pident", "evalue"]
+
+
+def _coded(parsed: DataFrame, min_pident: float, max_evalue: float) -> tuple[DataFrame, Column]:
+    """The rows that go on, with the codes of their residues worked out once, and their match segments."""
+    rows = parsed.where(reject_reason(min_pident, max_evalue).isNull())
+    minus = F.coalesce(F.substring("qstrand", 1, 1) == "-", F.lit(False))
+    codes = cigar.residue_codons(F.col("full_qseq"), F.col("qseq_translated"), F.col("qstart"), minus)
+    return scalars.select_once(rows, [*_KEPT, "cigar"], [codes.alias("codes")]), cigar.match_segments(F.col("cigar"), F.col("send") - F.col("sstart") + 1)
+
+
+def _acc(acc: str) -> Column:
+    return (scalars.extract_acc(F.col("qseqid")) if acc == "auto" else F.lit(acc)).alias("acc_id")
+
+
+def align(
+    parsed: DataFrame, acc: str = "auto", min_pident: float = 0.0, max_evalue: float = 1.0, max_offset: int | None = MAX_OFFSET, keep_empty: bool = False,
+    counters: Observation | None = None,
+) -> DataFrame:
     """The ``hsp`` table with its observations in an array.
 
     ``acc``: an accession for all rows, or "auto" for that of each query id. Rows without observations go, unless
     ``keep_empty``. Columns: shard_id, hog_id, acc_id, contig, cnum, sstart, send, qframe, pident, pident_u8,
     evalue, n_obs, obs.
     """
-    rows = parsed.where(reject_reason(min_pident, max_evalue).isNull())
-    minus = F.coalesce(F.substring("qstrand", 1, 1) == "-", F.lit(False))
-    span = F.col("send") - F.col("sstart") + 1
-    obs = cigar.observations(cigar.match_segments(F.col("cigar"), span), F.col("qseq_translated"), F.col("full_qseq"), F.col("qstart"), minus, max_offset)
-    obs = F.coalesce(obs, F.expr("cast(array() as array<struct<off:int,codon_idx:int>>)"))
-    rows = scalars.select_once(rows, ["shard_id", "qseqid", "sseqid", "qstrand", "qstart", "qend", "qlen", "sstart", "send", "pident", "evalue"], [obs.alias("obs")])
+    rows, segs = _coded(parsed, min_pident, max_evalue)
+    obs = F.coalesce(cigar.observations(segs, F.col("codes"), max_offset), F.expr("cast(array() as array<struct<off:int,codon_idx:int>>)"))
+    rows = scalars.select_once(rows, _KEPT, [obs.alias("obs")])
     out = rows.select(
         "shard_id",
         scalars.extract_hog(F.col("sseqid")).alias("hog_id"),
-        (scalars.extract_acc(F.col("qseqid")) if acc == "auto" else F.lit(acc)).alias("acc_id"),
+        _acc(acc),
         F.col("qseqid").alias("contig"),
         scalars.parse_cnum(F.col("qseqid")).alias("cnum"),
         F.col("sstart"),
@@ -69,38 +84,59 @@ def align(parsed: DataFrame, acc: str = "auto", min_pident: float = 0.0, max_eva
         F.size("obs").alias("n_obs"),
         "obs",
     )
+    if counters is not None:
+        out = out.observe(counters, *_kept_counts())
     return out if keep_empty else out.where("n_obs > 0")
 
 
-def ingest(lines: DataFrame, counters: Observation | None = None, **options) -> DataFrame:
-    """``align`` of ``parse``; ``counters`` gets records, skipped rows and dropped observations once an action has run."""
+def observed_spans(parsed: DataFrame, acc: str = "auto", min_pident: float = 0.0, max_evalue: float = 1.0, max_offset: int | None = MAX_OFFSET) -> DataFrame:
+    """(shard_id, hog_id, acc_id, sstart, send) of the rows that ``align`` keeps. Each is looked at up to its first observation."""
+    rows, segs = _coded(parsed, min_pident, max_evalue)
+    rows = rows.where(cigar.any_observation(segs, F.col("codes"), max_offset))
+    return rows.select("shard_id", scalars.extract_hog(F.col("sseqid")).alias("hog_id"), _acc(acc), "sstart", "send")
+
+
+class Counters:
+    """What an ingest of lines counts on its way, readable once an action has run: lines, skipped rows, rows without
+    nucleotides, records, observations, observations dropped."""
+
+    def __init__(self) -> None:
+        self.rows, self.kept = Observation(), Observation()
+
+    @property
+    def get(self) -> dict[str, int]:
+        return {**self.rows.get, **self.kept.get}
+
+
+def ingest(lines: DataFrame, counters: Counters | None = None, **options) -> DataFrame:
+    """``align`` of ``parse``; ``counters`` gets its numbers in the same pass."""
     parsed = parse(lines)
     if counters is None:
         return align(parsed, **options)
     limits = {k: v for k, v in options.items() if k in ("min_pident", "max_evalue")}
-    return align(parsed.observe(counters, *_skip_counts(reject_reason(**limits))), **options)
+    return align(parsed.observe(counters.rows, *_row_counts(reject_reason(**limits))), counters=counters.kept, **options)
+
 
+def _sum(c: Column) -> Column:
+    return F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
 
-def _skip_counts(reason: Column) -> list[Column]:
-    skipped = reason.isNotNull() & (reason != "no_nucleotides")
-    return [F.count("*").alias("lines"), F.coalesce(F.sum(skipped.cast("bigint")), F.lit(0)).alias("skipped")]
+
+def _row_counts(reason: Column) -> list[Column]:
+    silent = F.coalesce(reason == "no_nucleotides", F.lit(False))
+    return [F.count(F.lit(1)).alias("lines"), _sum(reason.isNotNull() & ~silent).alias("skipped"), _sum(silent).alias("no_nucleotides")]
+
+
+def _kept_counts() -> list[Column]:
+    n = F.col("n_obs")
+    return [_sum(n > 0).alias("records"), _sum(n).alias("observations"), _sum(F.col("send") - F.col("sstart") + 1 - n).alias("observations_dropped")]
 
 
 def counts(lines: DataFrame, **options) -> DataFrame:
-    """One row: records written, rows skipped, rows without nucleotides, observations kept and dropped."""
+    """One row: lines, rows skipped, rows without nucleotides, records written, observations kept and dropped."""
     limits = {k: v for k, v in options.items() if k in ("min_pident", "max_evalue")}
-    reason = reject_reason(**limits)
     parsed = parse(lines)
-    kept = align(parsed, keep_empty=True, **options).agg(
-        F.coalesce(F.sum((F.col("n_obs") > 0).cast("bigint")), F.lit(0)).alias("records"),
-        F.coalesce(F.sum("n_obs"), F.lit(0)).alias("observations"),
-        F.coalesce(F.sum(F.col("send") - F.col("sstart") + 1 - F.col("n_obs")), F.lit(0)).alias("observations_dropped"),
-    )
-    skips = parsed.select(reason.alias("reason")).agg(
-        F.coalesce(F.sum((F.col("reason").isNotNull() & (F.col("reason") != "no_nucleotides")).cast("bigint")), F.lit(0)).alias("skipped"),
-        F.coalesce(F.sum((F.col("reason") == "no_nucleotides").cast("bigint")), F.lit(0)).alias("no_nucleotides"),
-    )
-    return kept.join(skips)  # one row each
+    kept = align(parsed, keep_empty=True, **options).agg(*_kept_counts())
+    return kept.join(parsed.agg(*_row_counts(reject_reason(**limits))))  # one row each
 
 
 def flatten(hsp: DataFrame) -> DataFrame:

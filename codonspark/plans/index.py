@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, ingest
 from ..functions import scalars
+from ..sources.alignments import split_fields
 
 #: What each table is sorted by: predicates on a family and position prune files and row groups.
 ORDER = {
@@ -39,8 +40,7 @@ class Index:
 
 def accessions(lines: DataFrame) -> DataFrame:
     """(shard_id, acc_id) of all lines that aren't blank or comments, whatever becomes of them."""
-    parsed = ingest.parse(lines)
-    return parsed.select("shard_id", scalars.extract_acc(F.col("qseqid")).alias("acc_id")).distinct()
+    return split_fields(lines).select("shard_id", scalars.extract_acc(F.get("parts", F.lit(0))).alias("acc_id")).distinct()
 
 
 def build(lines: DataFrame, rollup: bool = False, **options) -> Index:

@@ -208,32 +208,49 @@ def cigar_expand(spark, sf_dir):
 
 def _cut(spark, sf_dir, strand: bool) -> DataFrame:
     rows = _valid(spark, sf_dir).where(_minus() == strand)
-    segs = rows.select("qseqid", "qseq_translated", "full_qseq", "qstart", F.explode(cigar.match_segments(F.col("cigar"), _span())).alias("s"))
+    segs = rows.select("shard_id", "qseqid", "qseq_translated", "full_qseq", "qstart", F.explode(cigar.match_segments(F.col("cigar"), _span())).alias("s"))
     each = segs.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s.n") - 1)).alias("k"))
     codon = cigar.codon_at(F.col("full_qseq"), F.col("qstart"), F.lit(strand), F.col("s.q") + F.col("k"))
-    return each.select("qseqid", (F.col("s.h") + F.col("k")).alias("off"), codon.alias("codon"))
+    return each.select("shard_id", "qseqid", "qseq_translated", (F.col("s.q") + F.col("k")).alias("q"), (F.col("s.h") + F.col("k")).alias("off"), codon.alias("codon"))
 
 
 @query(sql.observed("select qseqid, off, codon from cut join (select rid, qseqid from valid) using (rid) where not minus"))
 def codon_plus(spark, sf_dir):
-    return _cut(spark, sf_dir, False)
+    return _cut(spark, sf_dir, False).select("qseqid", "off", "codon")
 
 
 @query(sql.observed("select qseqid, off, codon from cut join (select rid, qseqid from valid) using (rid) where minus"))
 def codon_minus(spark, sf_dir):
-    return _cut(spark, sf_dir, True)
+    return _cut(spark, sf_dir, True).select("qseqid", "off", "codon")
 
 
-@query(sql.observed("select codon, count(*) as n from cut where not minus and codon is not null and not regexp_full_match(codon, '[ACGT]{3}') group by all"))
+@query(sql.observed("select codon, count(*) as n from cut where codon is not null and not regexp_full_match(codon, '[ACGT]{3}') group by all"))
 def acgt_reject(spark, sf_dir):
-    return _cut(spark, sf_dir, False).where(F.col("codon").isNotNull() & scalars.pack_codon(F.col("codon")).isNull()).groupBy("codon").agg(F.count("*").alias("n"))
+    cut = _cut(spark, sf_dir, False).unionByName(_cut(spark, sf_dir, True))
+    return cut.where(F.col("codon").isNotNull() & scalars.pack_codon(F.col("codon")).isNull()).groupBy("codon").agg(F.count("*").alias("n"))
 
 
-@query(sql.observed("select shard_id, cast(sum(span) - sum(coalesce(n_obs, 0)) as bigint) as dropped from valid left join (select rid, count(*) as n_obs from obs group by rid) using (rid) group by all"))
+@query(sql.observed(f"select shard_id, count(*) as rejected from acgt where substr('{sql.GENETIC_CODE}', cast(codon_idx + 1 as int), 1) <> aa group by all"))
 def round_trip_reject(spark, sf_dir):
+    rows = _cut(spark, sf_dir, False).unionByName(_cut(spark, sf_dir, True))
+    packed = scalars.pack_codon(F.col("codon"))
+    aa = F.translate(F.substr("qseq_translated", (F.col("q") + 1).cast("int"), F.lit(1)), scalars.FOLDED_FROM, scalars.FOLDED_TO)
+    wrong = F.substr(F.lit(scalars.GENETIC_CODE), packed.cast("int") + 1, F.lit(1)) != aa
+    return rows.where(packed.isNotNull() & wrong).groupBy("shard_id").agg(F.count("*").alias("rejected"))
+
+
+@query(sql.observed("select shard_id, cast(sum(span) - sum(coalesce(n_obs, 0)) as bigint) as dropped from valid left join (select rid, count(*) as n_obs from obs group by rid) using (rid) group by all"))
+def observations_dropped(spark, sf_dir):
     return ingest.align(_parsed(spark, sf_dir), keep_empty=True).groupBy("shard_id").agg(F.sum(_span() - F.col("n_obs")).alias("dropped"))
 
 
+@query(sql.parsed("select distinct cast(case when evalue <= 0 then -32767 else greatest(-32767, least(0, round(log10(evalue) * 100))) end as integer) as code, cast(case when evalue <= 0 then null else greatest(-32767, least(0, round(log10(evalue) * 100))) end as integer) as back from valid"))
+def evalue_decode(spark, sf_dir):
+    code = scalars.encode_evalue(F.col("evalue"))
+    value = scalars.decode_evalue(code)
+    return _valid(spark, sf_dir).select(code.alias("code"), F.when(value > 0, F.round(F.log10(value) * 100)).cast("int").alias("back")).distinct()
+
+
 @query(sql.observed("select shard_id, count(*) as n from obs where off < 8 group by all"))
 def offset_cap(spark, sf_dir):
     return ingest.ingest(_lines(spark, sf_dir), max_offset=8).groupBy("shard_id").agg(F.sum("n_obs").alias("n"))
@@ -277,7 +294,7 @@ def hog_length(spark, sf_dir):
 
 @query(sql.observed("select shard_id, hog_id, acc_id, cast(count(distinct x) as integer) as covered_aa from (select shard_id, hog_id, acc_id, unnest(range(sstart, send + 1)) as x from hsp) group by all"))
 def coverage(spark, sf_dir):
-    return aggregates.coverage(_hsp(spark, sf_dir))
+    return aggregates.coverage(ingest.observed_spans(_parsed(spark, sf_dir)))
 
 
 @query(sql.observed("select hog_id, count(distinct acc_id) as n_accessions from hsp group by all"))

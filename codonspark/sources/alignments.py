@@ -30,6 +30,13 @@ def _unzstd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines)), pa.array(lines)], names=["path", "value"])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if it comes from fewer files than there are cores: a file, or a row group of one, that can't
+    be split would leave most of them idle. Inputs of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], shard_id: str | None = None) -> DataFrame:
     """(shard_id, value): lines of text, gzip or zstd files. Plain text is split by byte ranges; other kinds by file.
 
@@ -40,7 +47,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], shard_id: str | None
     plain = [p for p in paths if p not in zst]
     found = []
     if plain:
-        found.append(spark.read.text(plain).select(F.input_file_name().alias("path"), "value"))
+        found.append(spark.read.option("lineSep", "\n").text(plain).select(F.input_file_name().alias("path"), "value"))
     if zst:
         files = spark.read.format("binaryFile").load(zst).select("path", "content").repartition(max(1, len(zst)))
         found.append(files.mapInArrow(_unzstd, "path string, value string"))
