@@ -20,7 +20,7 @@ from .common import held_out, materialize, read_table
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 6_000
 MIN_Z = 2.5
 THRESHOLD = 0.3
 
@@ -77,18 +77,23 @@ def _rows(kept: np.ndarray):
     return run
 
 
-def _fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, ratio: np.ndarray, l2: float = 0.5, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Logistic regression on x = ratio[col] for each present (row, col); Adam on all rows."""
+def _fit(y: np.ndarray, begin: np.ndarray, col: np.ndarray, ratio: np.ndarray, l2: float = 0.5, steps: int = 200, block: int = 500) -> tuple[np.ndarray, float]:
+    """Logistic regression on x = ratio[col] for the columns present in each row (``col[begin[r] : begin[r + 1]]``); Adam on all
+    rows, ``block`` of them at a time, so that little is held beside the columns."""
     n, d = len(y), len(ratio)
     w, b = np.zeros(d), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     # rows of long texts hold more n-grams by chance: each row is scaled by the root of what it holds
-    norm = 1 / np.sqrt(1 + np.bincount(row, minlength=n))
-    x = ratio[col] * norm[row]
+    norm = 1 / np.sqrt(1 + np.diff(begin))
     m, v, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[col] * x, n) + b
-        e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        g, gb = np.bincount(col, e[row] * x, d) + l2 * w / n, float(e.sum())
+        g, gb, wr = l2 * w / n, 0.0, w * ratio
+        for low in range(0, n, block):
+            high = min(n, low + block)
+            own, row = col[begin[low] : begin[high]], np.repeat(np.arange(high - low), np.diff(begin[low : high + 1]))
+            z = np.bincount(row, wr[own], high - low) * norm[low:high] + b
+            e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[low:high]) / n
+            g += np.bincount(own, (e * norm[low:high])[row], d) * ratio
+            gb += float(e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.05 / (1 + t / 200)
@@ -126,13 +131,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows:
         return {"weight": weight, "bias": float(np.log((n1 + 1) / (n0 + 1)))}
     kept = np.zeros(1 << BITS, bool)
     kept[grams] = True
-    place = np.zeros(1 << BITS, np.int64)
+    place = np.zeros(1 << BITS, np.int32)
     place[grams] = np.arange(len(grams))
-    table = sample.mapInArrow(_rows(kept), "label int, grams array<int>").toArrow().combine_chunks()
-    y = table.column("label").to_numpy().astype(float)
-    lists = table.column("grams").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy()) if len(y) else np.zeros(0, np.int64)
-    w, b = _fit(y, np.repeat(np.arange(len(y)), sizes), place[lists.flatten().to_numpy()], ratios)
+    y, sizes, parts = [], [], []
+    for b in sample.mapInArrow(_rows(kept), "label int, grams array<int>").toArrow().to_batches():
+        y.append(b.column("label").to_numpy(zero_copy_only=False).astype(float))
+        sizes.append(np.diff(b.column("grams").offsets.to_numpy()))
+        parts.append(place[b.column("grams").flatten().to_numpy()])
+    w, b = _fit(np.concatenate(y), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(parts), ratios)
     weight[grams] = w * ratios
     return {"weight": weight, "bias": b}
 
