@@ -120,3 +120,27 @@ def encode_evalue(evalue: Column) -> Column:
 
 def decode_evalue(code: Column) -> Column:
     return F.when(code <= -32767, 0.0).otherwise(F.pow(F.lit(10.0), code / 100.0))
+
+
+#: Where the hash begins, and the two parts of its prime, 2 ** 40 + 435.
+FNV_BASIS, FNV_SHIFT, FNV_LOW = 1469598103934665603, 8, 435
+
+
+def fnv_bucket(c: Column, buckets: int) -> Column:
+    """The 64-bit FNV-1a hash of the text's UTF-8 bytes, unsigned, modulo ``buckets``.
+
+    The state is two 32-bit halves: products of 64 bits would overflow a long.
+    """
+    mask = (1 << 32) - 1
+    code = F.hex(F.encode(c, "utf-8"))
+    byte = lambda i: F.conv(F.substr(code, (2 * i - 1).cast("int"), F.lit(2)), 16, 10).cast("bigint")
+    start = F.struct(F.lit(FNV_BASIS >> 32).cast("bigint").alias("hi"), F.lit(FNV_BASIS & mask).cast("bigint").alias("lo"))
+
+    def step(h: Column, i: Column) -> Column:
+        lo = h["lo"].bitwiseXOR(byte(i))
+        carry = F.shiftright(lo * FNV_LOW, 32)
+        hi = h["hi"] * FNV_LOW + carry + F.shiftleft(lo, FNV_SHIFT)
+        return F.struct(hi.bitwiseAND(F.lit(mask)).alias("hi"), (lo * FNV_LOW).bitwiseAND(F.lit(mask)).alias("lo"))
+
+    last = lambda h: ((h["hi"] % buckets * ((1 << 32) % buckets) + h["lo"] % buckets) % buckets).cast("int")
+    return F.when(c == "", F.lit(FNV_BASIS % buckets)).otherwise(F.aggregate(F.sequence(F.lit(1), F.octet_length(c)), start, step, last))

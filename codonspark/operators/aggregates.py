@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..sources.folders import written
 
 GROUP = ["shard_id", "hog_id", "acc_id"]
 
@@ -22,19 +23,26 @@ def coverage(hsp: DataFrame) -> DataFrame:
 
 
 def hog_acc(hsp: DataFrame) -> DataFrame:
-    """Least whole-per-cent identity, covered positions and observations of each accession in each family."""
-    plain = hsp.groupBy(*GROUP).agg(F.min("pident_u8").alias("min_pident"), F.sum("n_obs").alias("n_obs"))
+    """Least whole-per-cent identity, greatest end, covered positions and observations of each accession in each family."""
+    plain = hsp.groupBy(*GROUP).agg(F.min("pident_u8").alias("min_pident"), F.sum("n_obs").alias("n_obs"), F.max("send").alias("max_send"))
     return plain.join(coverage(hsp), GROUP)
 
 
+def merged_pairs(pairs: DataFrame) -> DataFrame:
+    """``hog_acc`` of several shards as of one: least identities, and sums of what each shard covers and observes."""
+    return pairs.groupBy("hog_id", "acc_id").agg(
+        F.min("min_pident").alias("min_pident"), F.sum("n_obs").alias("n_obs"), F.max("max_send").alias("max_send"), F.sum("covered_aa").cast("int").alias("covered_aa")
+    )
+
+
 def min_pident(hsp: DataFrame) -> DataFrame:
     return hsp.groupBy(*GROUP).agg(F.min("pident_u8").alias("min_pident"))
 
 
-def hog(hsp: DataFrame, obs: DataFrame) -> DataFrame:
-    """Length, accessions, positions and observations of each family in each shard."""
-    a = hsp.groupBy("shard_id", "hog_id").agg(
-        (F.max("send") + 1).cast("int").alias("hog_length"), F.count_distinct("acc_id").cast("int").alias("n_accessions"), F.sum("n_obs").alias("n_obs")
+def hog(pairs: DataFrame, obs: DataFrame) -> DataFrame:
+    """Length, accessions, positions and observations of each family in each shard, from ``hog_acc`` and the observations."""
+    a = pairs.groupBy("shard_id", "hog_id").agg(
+        (F.max("max_send") + 1).cast("int").alias("hog_length"), F.count("*").cast("int").alias("n_accessions"), F.sum("n_obs").alias("n_obs")
     )
     b = obs.groupBy("shard_id", "hog_id").agg(F.count_distinct("hog_pos").cast("int").alias("n_positions"))
     return a.join(b, ["shard_id", "hog_id"]).select("shard_id", "hog_id", "hog_length", "n_accessions", "n_positions", "n_obs")
@@ -66,24 +74,31 @@ def consensus(obs: DataFrame) -> DataFrame:
     )
 
 
-def unitigs(obs: DataFrame) -> DataFrame:
-    """Distinct unitigs of each family with a dense number in (accession, number) order."""
-    rows = obs.select("shard_id", "hog_id", "acc_id", "cnum").distinct()
-    w = Window.partitionBy("shard_id", "hog_id").orderBy("acc_id", "cnum")
-    return rows.withColumn("uid", (F.row_number().over(w) - 1).cast("int"))
-
-
-def acc_rank(accessions: DataFrame) -> DataFrame:
-    """Place of each accession in sorted order, from 0. Ranked by range partitions: counts first, no single sorting task."""
-    rows = accessions.select("acc_id").distinct()
+def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with their place ``at`` in the order of ``order``, from 0. Ranges are counted first: no single sorting task. The
+    ranges are written, so both of their readers see the same ones."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, "acc_id").sortWithinPartitions("acc_id")
-    placed = ranged.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = written(ranged.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     base = sizes.select("part", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("base"))
-    return placed.join(F.broadcast(base), "part").select("acc_id", (F.col("base") + F.col("at")).alias("acc_idx"))
+    return placed.join(F.broadcast(base), "part").withColumn("at", F.col("base") + F.col("nth")).drop("part", "nth", "base")
+
+
+def unitigs(obs: DataFrame) -> DataFrame:
+    """Distinct unitigs of each family with a dense number in (accession, number) order: the place among all less that of the family's
+    first, so no family is one task."""
+    rows = obs.select("shard_id", "hog_id", "acc_id", "cnum").distinct()
+    placed = _placed(rows, ["shard_id", "hog_id", "acc_id", "cnum"])
+    first = placed.groupBy("shard_id", "hog_id").agg(F.min("at").alias("first"))
+    return placed.join(first, ["shard_id", "hog_id"]).select("shard_id", "hog_id", "acc_id", "cnum", (F.col("at") - F.col("first")).cast("int").alias("uid"))
+
+
+def acc_rank(accessions: DataFrame) -> DataFrame:
+    """Place of each accession in sorted order, from 0."""
+    return _placed(accessions.select("acc_id").distinct(), ["acc_id"]).select("acc_id", F.col("at").alias("acc_idx"))
 
 
 def obs_ordinals(obs: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators.aggregates import GROUP
+from ..sources.folders import size_of
 from .index import Index
 
 
@@ -79,10 +80,27 @@ def stat(index: Index, registry: str = "seen") -> DataFrame:
     return a.join(b).select("n_hogs", "n_accessions", "total_hog_accession_pairs")  # one row each
 
 
-def stat_hogs(index: Index) -> DataFrame:
-    return index.hog.groupBy("hog_id").agg(F.sum("n_accessions").alias("n_accessions"), F.sum("n_obs").alias("n_obs")).orderBy("hog_id")
+def file_size_mb(spark: SparkSession, paths: list[str]) -> float:
+    """Size of the observations' files."""
+    return round(sum(size_of(spark, f"{p}/obs") for p in paths) / (1 << 20), 1)
 
 
-def stat_accession(index: Index, hsp: DataFrame) -> DataFrame:
+def stat_hogs(index: Index, obs_bytes: int | None = None) -> DataFrame:
+    """hog_id, n_accessions, n_obs of each family; with ``obs_bytes``, the size of the observations' files, data_length_kb: the
+    family's part of it by observations (rows of all families are packed alike, and a file holds several families)."""
+    out = index.hog.groupBy("hog_id").agg(F.sum("n_accessions").alias("n_accessions"), F.sum("n_obs").alias("n_obs"))
+    if obs_bytes is not None:
+        total = index.hog.agg(F.sum("n_obs").alias("all_obs"))
+        out = out.join(F.broadcast(total)).withColumn("data_length_kb", F.round(F.col("n_obs") / F.col("all_obs") * obs_bytes / 1024, 1)).drop("all_obs")
+    return out.orderBy("hog_id")
+
+
+def stat_accession(index: Index) -> DataFrame:
     """Per accession: families it occurs in, and blocks (one per family and shard)."""
     return index.hog_acc.groupBy("acc_id").agg(F.count_distinct("hog_id").alias("n_hogs"), F.count("*").alias("n_blocks"))
+
+
+def stat_accession_hogs(index: Index, acc_id: str | None = None) -> DataFrame:
+    """acc_id, hog_id, n_blocks of one accession, or of all, in order."""
+    pairs = index.hog_acc if acc_id is None else index.hog_acc.where(F.col("acc_id") == acc_id)
+    return pairs.groupBy("acc_id", "hog_id").agg(F.count("*").alias("n_blocks")).orderBy("acc_id", "hog_id")

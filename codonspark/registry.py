@@ -13,6 +13,7 @@ from .functions import cigar, scalars
 from .operators import aggregates, ingest
 from .plans import index as idx
 from .plans import queries as q
+from .sources.folders import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -413,7 +414,12 @@ def stat_per_hog(spark, sf_dir):
 
 @query(sql.observed("select acc_id, count(distinct hog_id) as n_hogs, count(*) as n_blocks from pairs group by all"))
 def stat_accession(spark, sf_dir):
-    return q.stat_accession(_index(spark, sf_dir), None)
+    return q.stat_accession(_index(spark, sf_dir))
+
+
+@query(sql.observed("select acc_id, hog_id, count(*) as n_blocks from pairs group by all"))
+def stat_accession_hogs(spark, sf_dir):
+    return q.stat_accession_hogs(_index(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- shards
@@ -461,3 +467,66 @@ def hog_range_exclusive(spark, sf_dir):
 @query(sql.observed("select shard_id, hog_id, cast(max(send) + 1 as integer) as hog_length, cast(count(distinct acc_id) as integer) as n_accessions, cast((select count(distinct hog_pos) from obs o where o.shard_id = h.shard_id and o.hog_id = h.hog_id) as integer) as n_positions, cast(sum(n_obs) as bigint) as n_obs from hsp h group by shard_id, hog_id"))
 def hog_catalog(spark, sf_dir):
     return _index(spark, sf_dir).hog
+
+
+# ---------------------------------------------------------------- written tables
+def _write(spark, lines: DataFrame) -> tuple[str, idx.Index]:
+    path = work_folder(spark)
+    return path, idx.write(lines, path)
+
+
+def _write_shards(spark, lines: DataFrame, shards: list[str]) -> str:
+    """An index per shard in a folder of their own."""
+    path = work_folder(spark)
+    for s in shards:
+        idx.write(lines.where(F.col("shard_id") == s), f"{path}/{s}")
+    return path
+
+
+@query(_freq("true", 65))
+def written_dump(spark, sf_dir):
+    return q.dump(_write(spark, _lines(spark, sf_dir))[1], 65)
+
+
+@query(_saav("hog_pos = 120"))
+def written_saav(spark, sf_dir):
+    return q.saav(_write(spark, _lines(spark, sf_dir))[1], HOG, 120)
+
+
+@query(sql.observed("select shard_id, cast(count(distinct hog_id) as bigint) as n_hogs, n_accessions from hsp join (select shard_id, count(distinct string_split(qseqid, '_')[1]) as n_accessions from parsed group by all) using (shard_id) group by all"))
+def manifest(spark, sf_dir):
+    path = _write_shards(spark, _lines(spark, sf_dir), [f"shard{i}" for i in range(4)])
+    rows = idx.write_manifest(spark, [path], f"{path}/all.manifest")
+    return rows.select(F.substring_index("path", "/", -1).alias("shard_id"), "n_hogs", "n_accessions")
+
+
+@query(_freq("true", shard="overlap_id"))
+def manifest_dump(spark, sf_dir):
+    path = _write_shards(spark, _overlapping(spark, sf_dir), ["half0", "half1"])
+    idx.write_manifest(spark, [path], f"{path}/all.manifest")
+    return q.dump(idx.read_manifest(spark, f"{path}/all.manifest"))
+
+
+_SUMMED = "select hog_id, acc_id, min(min_pident) as min_pident, cast(sum(n_obs) as bigint) as n_obs, cast(sum(covered_aa) as integer) as covered_aa from (select overlap_id, hog_id, acc_id, min(pident_u8) as min_pident, sum(n_obs) as n_obs from hsp group by all) join (select overlap_id, hog_id, acc_id, count(distinct x) as covered_aa from (select overlap_id, hog_id, acc_id, unnest(range(sstart, send + 1)) as x from hsp) group by all) using (overlap_id, hog_id, acc_id) group by all"
+
+
+@query(sql.observed(_SUMMED))
+def merged_pairs(spark, sf_dir):
+    path = _write_shards(spark, _overlapping(spark, sf_dir), ["half0", "half1"])
+    one = idx.merge(spark, [path], f"{path}-one", as_shard="all")
+    return one.hog_acc.select("hog_id", "acc_id", "min_pident", "n_obs", "covered_aa")
+
+
+_FNV = "list_reduce(list_prepend(cast({basis} as hugeint), [cast(ord(x) as hugeint) for x in string_split(hog_id, '')]), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616)"
+
+
+@query(sql.observed(f"select hog_id, cast({_FNV.format(basis=scalars.FNV_BASIS)} % 7 as integer) as hog_bucket, count(*) as n_obs from obs group by all"))
+def hog_buckets(spark, sf_dir):
+    path, ix = _write(spark, _lines(spark, sf_dir))
+    return idx.write_buckets(ix, f"{path}/buckets", 7).groupBy("hog_id", "hog_bucket").agg(F.count("*").alias("n_obs"))
+
+
+@query(sql.observed("select acc_id, count(*) as n_records, cast(sum(n_obs) as bigint) as n_obs from hsp group by all"))
+def per_accession(spark, sf_dir):
+    rows = idx.write_by_accession(_lines(spark, sf_dir), work_folder(spark))
+    return rows.groupBy("acc_id").agg(F.count("*").alias("n_records"), F.sum("n_obs").alias("n_obs"))

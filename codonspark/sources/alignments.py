@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIELDS = "qseqid qstart qend qlen qstrand sseqid sstart send slen pident evalue cigar qseq_translated full_qseq".split()
-
-
-def _unzstd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of zstd files, several frames each, decoded as a stream: a file of any size stays bounded."""
-    import io
+from .compressed import CompressedLines, kind_of
 
-    import zstandard
-
-    for b in batches:
-        for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-            lines: list[str] = []
-            raw = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content.as_py()), read_across_frames=True)
-            for line in io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline="\n"):
-                lines.append(line.rstrip("\n").rstrip("\r"))
-                if len(lines) == 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines)), pa.array(lines)], names=["path", "value"])
-                    lines = []
-            if lines:
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines)), pa.array(lines)], names=["path", "value"])
+FIELDS = "qseqid qstart qend qlen qstrand sseqid sstart send slen pident evalue cigar qseq_translated full_qseq".split()
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -37,20 +18,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def _streamed(path: str) -> bool:
+    """Whether Spark's text reader can't read the file: zstd, and gzip that isn't named so. Known names aren't opened."""
+    if path.endswith((".zst", ".zstd")):
+        return True
+    if path.endswith((".gz", ".tsv", ".txt")) or any(c in path for c in "*?[{"):
+        return False
+    try:
+        return kind_of(path) != "text"
+    except (OSError, ValueError, pa.ArrowException):
+        return False  # a folder, or a file system that only Spark reads
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], shard_id: str | None = None) -> DataFrame:
-    """(shard_id, value): lines of text, gzip or zstd files. Plain text is split by byte ranges; other kinds by file.
+    """(shard_id, value): lines of text, gzip or zstd files. Text and zstd of many frames are split by byte ranges, gzip by file.
 
     ``shard_id`` names all lines' shard; without it each file is one.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    zst = [p for p in paths if p.endswith((".zst", ".zstd"))]
-    plain = [p for p in paths if p not in zst]
+    streamed = [p for p in paths if _streamed(p)]
+    plain = [p for p in paths if p not in streamed]
     found = []
     if plain:
-        found.append(spark.read.option("lineSep", "\n").text(plain).select(F.input_file_name().alias("path"), "value"))
-    if zst:
-        files = spark.read.format("binaryFile").load(zst).select("path", "content").repartition(max(1, len(zst)))
-        found.append(files.mapInArrow(_unzstd, "path string, value string"))
+        found.append(spread(spark.read.option("lineSep", "\n").text(plain).select(F.input_file_name().alias("path"), "value")))
+    if streamed:
+        spark.dataSource.register(CompressedLines)
+        found.append(spark.read.format(CompressedLines.name()).option("paths", "\n".join(streamed)).load())
     lines = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     return lines.select((F.lit(shard_id) if shard_id is not None else F.col("path")).alias("shard_id"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
 

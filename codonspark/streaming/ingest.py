@@ -36,4 +36,4 @@ def read(spark: SparkSession, path: str) -> Index:
     """The index over all batches so far. Aggregates span batches, so they are derived when asked for."""
     hsp = spark.read.parquet(f"{path}/hsp").drop("batch")
     obs, pairs = ingest.flatten(hsp), aggregates.hog_acc(hsp)
-    return Index(obs, pairs, aggregates.hog(hsp, obs), spark.read.parquet(f"{path}/accession").drop("batch").distinct())
+    return Index(obs, pairs, aggregates.hog(pairs, obs), spark.read.parquet(f"{path}/accession").drop("batch").distinct())

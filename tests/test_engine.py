@@ -228,3 +228,77 @@ def test_match_segments_are_cut(spark):
     df = spark.createDataFrame([("2M1D9M", 5), ("3S2M", 9), ("0M3M", 3), ("3", 3), ("", 3), (None, 3)], "c string, n long")
     got = [[tuple(s) for s in r[0]] if r[0] is not None else None for r in df.select(cigar.match_segments(F.col("c"), F.col("n"))).collect()]
     assert got[:5] == [[(0, 0, 2), (3, 2, 2)], [(0, 0, 2)], [], [], []]
+
+
+def test_zstd_frames_are_dealt_out(spark, tmp_path):
+    """Lines that run across frames, skippable frames, several frames a range and several ranges a frame."""
+    import gzip
+
+    import zstandard
+
+    rnd = random.Random(3)
+    text = "\n".join("".join(rnd.choices("ACGT\t|", k=rnd.randint(0, 300))) for _ in range(3000)) + "\n"
+    data, out, at = text.encode(), b"", 0
+    while at < len(data):
+        size = rnd.choice([1, 50, 4000, 60000])
+        c = zstandard.ZstdCompressor(write_checksum=rnd.random() < 0.5, write_content_size=rnd.random() < 0.5)
+        out += c.compress(data[at : at + size])
+        if rnd.random() < 0.2:
+            out += (0x184D2A50).to_bytes(4, "little") + (5).to_bytes(4, "little") + b"(\xb5/\xfdx"
+        at += size
+    (tmp_path / "a.zst").write_bytes(out)
+    (tmp_path / "b").write_bytes(gzip.compress(data[:1000]) + gzip.compress(data[1000:]))
+    want = sorted(text.split("\n")[:-1])
+    from codonspark.sources.compressed import CompressedLines
+
+    spark.dataSource.register(CompressedLines)
+    for size in (500, 10_000, 1 << 30):
+        df = spark.read.format("codonspark_lines").option("paths", str(tmp_path / "a.zst")).option("range", size).load()
+        assert sorted(r["value"] for r in df.collect()) == want
+    got = read_lines(spark, [str(tmp_path / "a.zst"), str(tmp_path / "b")]).groupBy("shard_id").count().collect()
+    assert sorted(r["count"] for r in got) == [3000, 3000]
+
+
+def test_counters_of_an_ingest(spark):
+    from codonspark.operators import ingest
+
+    rows = [row(), row(pident="x"), row(pident="100.0"), "# c", "", row(qseq="WKG"), row(qseq="WWW")]
+    counters = ingest.Counters()
+    assert ingest.ingest(lines(spark, rows), counters).count() == 2
+    want = ingest.counts(lines(spark, rows)).first().asDict()
+    assert counters.get == want and want["records"] == 2 and want["skipped"] == 2 and want["observations"] == 5 and want["observations_dropped"] == 4
+
+
+def test_command_line_over_shards(spark, tmp_path, capsys, monkeypatch):
+    """Folders of shards, standard input, buckets, a folder per accession, codecs, statistics."""
+    import io
+    import types
+
+    from codonspark import cli
+
+    two = row(qseqid="SRR0000002_7_x", sseqid="x|N0.HOG0000002")
+    for name, text in (("s1", row() + "\n"), ("s2", f"{row()}\n{two}\n{row(pident='x')}\n")):
+        monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(text.encode() if name == "s1" else gzip.compress(text.encode()))))
+        assert cli.main(["build", str(tmp_path / "shards" / name), "-", "--shard", name]) == 0
+    assert "2 records" in capsys.readouterr().err
+    assert cli.main(["manifest", str(tmp_path / "m.manifest"), str(tmp_path / "shards")]) == 0
+    assert [x.split("\t")[1:] for x in capsys.readouterr().out.splitlines()[1:]] == [["1", "1"], ["2", "2"]]
+    assert cli.main(["freq", str(tmp_path / "m.manifest"), "N0.HOG0000001"]) == 0
+    assert capsys.readouterr().out.splitlines()[1] == "0\tATG\tM\t2"
+    assert cli.main(["merge", str(tmp_path / "one"), str(tmp_path / "shards"), "--as-shard", "all", "--buckets", "3"]) == 0
+    assert cli.main(["freq", str(tmp_path / "one"), "N0.HOG0000001"]) == 0
+    assert capsys.readouterr().out.splitlines()[1] == "0\tATG\tM\t1"
+    rows = spark.read.parquet(str(tmp_path / "one" / "hog_acc")).where("acc_id = 'SRR0000001'").collect()
+    assert [(r["covered_aa"], r["n_obs"]) for r in rows] == [(6, 6)]
+    assert spark.read.parquet(str(tmp_path / "one" / "buckets")).count() == 9
+    assert cli.main(["stat", str(tmp_path / "m.manifest")]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0].startswith("file_size_mb\t") and out[2] == "2\t2\t3" and out[3] == "hog_id\tn_accessions\tn_obs\tdata_length_kb"
+    assert cli.main(["stat", str(tmp_path / "m.manifest"), "--accession", "SRR0000001"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["acc_id\tSRR0000001", "n_hogs\tn_blocks", "1\t2", "hog_id\tn_blocks", "N0.HOG0000001\t2"]
+    (tmp_path / "a.tsv").write_text(f"{row()}\n{two}\n")
+    assert cli.main(["convert", str(tmp_path / "by"), str(tmp_path / "a.tsv")]) == 0
+    assert sorted(p.name for p in (tmp_path / "by").glob("acc_id=*")) == ["acc_id=SRR0000001", "acc_id=SRR0000002"]
+    assert cli.main(["codecs", str(tmp_path / "one"), str(tmp_path / "trials")]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 13
+    assert cli.main(["manifest", str(tmp_path / "n.manifest"), str(tmp_path / "nowhere")]) == 1
