@@ -45,13 +45,19 @@ def read_pieces(path: str) -> list[str]:
     return [p for p in found if p.replace(START, "", 1).isalpha()]
 
 
+def runs_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters and of numbers that are no digits, such as one half or Roman eight."""
+    return _LETTERS.findall((text or "").lower())
+
+
+def letters_in(run: str) -> list[str]:
+    """The runs of letters in a run."""
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters."""
-    found = _LETTERS.findall((text or "").lower())
-    if all(map(str.isalpha, found)):
-        return found
-    # numbers such as one half or Roman eight are word characters without being letters
-    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    return [w for run in runs_of(text) for w in letters_in(run)]
 
 
 class Segmenter:
@@ -141,7 +147,7 @@ class WordScores:
                 self._place.setdefault(p[:i], -1)  # a beginning of pieces
         self._place |= {p: i for i, p in enumerate(pieces)}
         self._table = np.vstack([table, np.full((1, table.shape[1]), UNKNOWN)])
-        self._logs = np.log(self._table)
+        self._logs, self._long = np.log(self._table), set()
         self._limit, self._known, self._rows = limit, {}, np.zeros((1024, table.shape[1]))
 
     def forward(self, words: list[str]) -> np.ndarray:
@@ -203,29 +209,44 @@ class WordScores:
             alpha[end] = np.logaddexp.reduce(alpha[list(at)] + logs[list(piece)], axis=0)
         return alpha[-1]
 
-    def learn(self, words: set[str]) -> None:
-        """Make rows for the words that have none."""
+    def learn(self, runs: set[str]) -> None:
+        """Make rows for the runs that have none. Those with other characters than letters are the sums of their words; long words are
+        not remembered."""
         if len(self._known) > self._limit:
             self._known.clear()
-        new = sorted((w for w in words if len(w) <= SHORT_WORD and w not in self._known), key=len)
+        new = [r for r in runs if r not in self._known]
+        odd = {r: letters_in(r) for r in new if not r.isalpha()}
+        words = {*(r for r in new if r not in odd), *(w for parts in odd.values() for w in parts if w not in self._known)}
+        self._long = {r for r in new if len(r) > SHORT_WORD}
+        new = sorted((w for w in words if len(w) <= SHORT_WORD), key=len)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            n = len(self._known)
-            while n + len(part) > len(self._rows):
-                self._rows = np.vstack([self._rows, np.zeros_like(self._rows)])
-            self._rows[n : n + len(part)] = self.forward(part)
-            self._known.update(zip(part, range(n, n + len(part)), strict=True))
-
-    def total(self, words: list[str]) -> np.ndarray:
-        """Sum of the words' rows; all short ones have been learned."""
+            self._keep(part, self.forward(part))
+        some = [r for r in odd if r not in self._long]
+        if some:
+            self._keep(some, np.array([self.row(odd[r]) for r in some]))
+
+    def _keep(self, runs: list[str], rows: np.ndarray) -> None:
+        n = len(self._known)
+        while n + len(runs) > len(self._rows):
+            self._rows = np.vstack([self._rows, np.zeros_like(self._rows)])
+        self._rows[n : n + len(runs)] = rows
+        self._known.update(zip(runs, range(n, n + len(runs)), strict=True))
+
+    def row(self, words: list[str]) -> np.ndarray:
+        zero = np.zeros(self._rows.shape[1])
+        return sum((self._rows[self._known[w]] if w in self._known else self.by_logs(w) for w in words), zero)
+
+    def total(self, runs: list[str]) -> np.ndarray:
+        """Sum of the rows of runs that ``learn`` has just seen."""
         out = np.zeros(self._rows.shape[1])
-        if max(map(len, words)) > SHORT_WORD:
-            for w in words:
-                if len(w) > SHORT_WORD:
-                    out += self.by_logs(w)
-            words = [w for w in words if len(w) <= SHORT_WORD]
-        for at in range(0, len(words), 1 << 16):
-            part = words[at : at + (1 << 16)]
+        if self._long:
+            for r in runs:
+                if r in self._long:
+                    out += self.row(letters_in(r))
+            runs = [r for r in runs if r not in self._long]
+        for at in range(0, len(runs), 1 << 16):
+            part = runs[at : at + (1 << 16)]
             out += self._rows[np.fromiter(map(self._known.__getitem__, part), np.int64, len(part))].sum(axis=0)
         return out
 
@@ -310,10 +331,10 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         for b in batches:
             pred, score = [], []
             for low in range(0, b.num_rows, 64):
-                some = [words_of(t.as_py()) if langs else [] for t in b.column("text").slice(low, 64)]
+                some = [runs_of(t.as_py()) if langs else [] for t in b.column("text").slice(low, 64)]
                 scores.learn({w for words in some for w in words})
                 for words in some:
-                    if not words:
+                    if not any(map(str.isalpha, words)) and not any(map(letters_in, words)):
                         pred.append("und")
                         score.append(0.0)
                         continue

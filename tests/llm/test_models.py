@@ -189,7 +189,9 @@ def test_long_words_are_summed_whole():
         assert np.allclose(scores.by_logs(word), scores.forward([word])[0])
     # forty unknown letters: the word's start and forty small probabilities
     assert np.allclose(scores.by_logs("x" * 40), np.log(table[0]) + 40 * np.log(language.UNKNOWN))
-    scores.learn({"ab", "x" * 400})
+    scores.learn({"ab", "x" * 400, "ab\u00bd" + "x" * 400, "ab\u00bdab", "\u00bd"})
+    assert np.allclose(scores.total(["ab\u00bdab", "\u00bd"]), 2 * scores.forward(["ab"])[0])
+    assert np.allclose(scores.total(["ab\u00bd" + "x" * 400]), scores.total(["ab", "x" * 400]))
     assert np.allclose(scores.total(["ab", "x" * 400]), scores.forward(["ab"])[0] + np.log(table[0]) + 400 * np.log(language.UNKNOWN))
     seg = language.Segmenter(pieces, table / table.sum(axis=0))
     ends = seg.lattice("abbab" * 3)
