@@ -66,7 +66,8 @@ def _expressions(engine: str) -> list[dict[str, str]]:
 
 def alignment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(shard_id, value, overlap_id): lines; ``overlap_id`` is another split, in which shards share accessions."""
-    df = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus"))
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
+    df = spread(df, len(df.inputFiles()))  # a file may be a single row group
     for step in _expressions("spark"):
         df = df.select("*", *(F.expr(e).alias(k) for k, e in step.items()))
     overlap = F.concat(F.lit("half"), (F.col("okey") % 2).cast("string")).alias("overlap_id")

@@ -11,11 +11,11 @@ from .compressed import CompressedLines, kind_of
 FIELDS = "qseqid qstart qend qlen qstrand sseqid sstart send slen pident evalue cigar qseq_translated full_qseq".split()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out to all cores if it comes from fewer files than there are cores: a file, or a row group of one, that can't
-    be split would leave most of them idle. Inputs of many files stay as they are."""
+def spread(df: DataFrame, parts: int) -> DataFrame:
+    """``df``, dealt out to all cores if it comes in fewer ``parts`` than there are cores: a file, or a row group of one, that can't
+    be split would leave most of them idle. Inputs of many parts stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if parts < cores else df
 
 
 def _streamed(path: str) -> bool:
@@ -40,7 +40,8 @@ def read_lines(spark: SparkSession, paths: str | list[str], shard_id: str | None
     plain = [p for p in paths if p not in streamed]
     found = []
     if plain:
-        found.append(spread(spark.read.option("lineSep", "\n").text(plain).select(F.input_file_name().alias("path"), "value")))
+        text = spark.read.option("lineSep", "\n").text(plain).select(F.input_file_name().alias("path"), "value")
+        found.append(spread(text, text.rdd.getNumPartitions()))
     if streamed:
         spark.dataSource.register(CompressedLines)
         found.append(spark.read.format(CompressedLines.name()).option("paths", "\n".join(streamed)).load())
