@@ -63,9 +63,22 @@ def _delete(spark: SparkSession, path: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows and bytes that go to a Python worker at once, where the session has the defaults. Whole texts are long: ten thousand of
+#: them take tens of MB in the executor's buffers, in each worker, and again for what is made of them.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has limits of its own."""
+    for key, (default, limit) in _BATCHES.items():
+        if spark.conf.get(key, "") == default:
+            spark.conf.set(key, limit)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it as a table: cuts lineage."""
     spark = df.sparkSession
+    bound_batches(spark)
     folder = shared_dir(spark)
     _remove_at_exit(spark, folder)
     path = f"{folder}/{label}-{uuid.uuid4().hex[:12]}"
