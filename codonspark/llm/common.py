@@ -71,7 +71,7 @@ _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "
 def bound_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches for this session, unless it has limits of its own."""
     for key, (default, limit) in _BATCHES.items():
-        if spark.conf.get(key, "") == default:
+        if spark.conf.get(key) == default:
             spark.conf.set(key, limit)
 
 
