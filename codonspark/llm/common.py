@@ -138,7 +138,7 @@ class Remembered(dict):
 
     LONG = 64
 
-    def __init__(self, of, limit: int = 300_000) -> None:
+    def __init__(self, of, limit: int = 150_000) -> None:
         self._of, self._limit = of, limit
 
     def __missing__(self, word: str):
