@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialize, read_table
 
 K = 10
-SHARD_ROWS = 8192
+SHARD_ROWS = 4096
 M = 16
 EF_BUILD = 64
 EF_SEARCH = 96
@@ -123,7 +123,10 @@ class Graph:
     def _choose(self, found: list[tuple[float, int]], m: int) -> list[int]:
         """Near nodes that are nearer to the new one than to any chosen before; the nearest of the rest fill up."""
         ids = np.array([i for _, i in found])
-        x = self.vectors[ids]
+        # differences from one of them: products of those cancel no more than the distances themselves
+        x = self.vectors[ids] - self.vectors[ids[0]]
+        norms = np.einsum("ij,ij->i", x, x)
+        between = norms[:, None] + norms[None, :] - 2 * (x @ x.T)
         least = np.full(len(ids), np.inf)
         kept, rest = [], []
         for a, (d, _) in enumerate(found):
@@ -131,8 +134,7 @@ class Graph:
                 kept.append(a)
                 if len(kept) == m:
                     break
-                diff = x - x[a]
-                np.minimum(least, np.einsum("ij,ij->i", diff, diff), out=least)
+                np.minimum(least, between[a], out=least)
             else:
                 rest.append(a)
         return ids[(kept + rest)[:m]].tolist()
