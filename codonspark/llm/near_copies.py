@@ -5,9 +5,11 @@ of five hashes miss a pair at 0.8 with a probability of 7e-6, nearer ones with l
 the sets of its shingles, and no pair in a bucket is lost:
 
 1. Stars. Each text of a bucket is compared with the least of it. That links nearly all copies, at one comparison each.
-2. Cells. Buckets that the stars leave in several components are cut into the members of the commonest component and the
-   others, and both into chunks of ``CHUNK``. A task gets two chunks, compares texts of different components until
-   they are linked, and hands on the links alone. Copies that are linked already cost nothing there.
+2. Cells. What is left of a bucket without its least text, if it lies in several components, is cut into the members of the
+   commonest component and the others, and both into chunks of ``CHUNK``. A task gets two chunks, compares texts of different
+   components until they are linked, and hands on the links alone. Copies that are linked already cost nothing there.
+
+Texts are large: only those that a filter of the wanted keys lets through are shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, fresh_name, join_hot, materialize, mix64, release
+from .common import Remembered, fresh_name, materialize, maybe_among, mix64, release
 from .components import connected_components
 from .simhash import fingerprint_of, near_links, squeeze
 
@@ -163,15 +165,14 @@ def _star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _cell_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components of one bucket. ``members``: band, content, component."""
+    """Links between components of one bucket. ``members``: band, content, component, without what the star has compared."""
     size = materialize(members.groupBy("band", "component").agg(F.count("*").alias("c")), "bucket-components")
     most = F.max(F.struct("c", "component")).alias("most")
     open_ = size.groupBy("band").agg(most, F.sum("c").alias("n"), F.count("*").alias("m")).where("m > 1")
     chunks = lambda c: F.ceil(c / CHUNK).cast("int")
     open_ = open_.select("band", "n", F.col("most.component").alias("major"), chunks(F.col("most.c")).alias("bigs"), chunks(F.col("n") - F.col("most.c")).alias("smalls"))
     open_ = materialize(open_, "open-buckets")
-    total = members.count()
-    rows = join_hot(members, open_, ["band"], total).withColumn("big", F.col("component") == F.col("major"))
+    rows = members.join(open_.drop("n"), "band").withColumn("big", F.col("component") == F.col("major"))
     at = F.pmod(F.xxhash64("content", "band"), F.when(F.col("big"), F.col("bigs")).otherwise(F.col("smalls"))).cast("int")
     rows = materialize(rows.withColumn("at", at), "open-members")
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -197,18 +198,22 @@ def similar_links(given: DataFrame, prints: DataFrame) -> DataFrame:
     contents = materialize(prints.groupBy("content").agg(F.min(F.struct("doc_id", "h")).alias("of"), F.first("bands").alias("bands")), "contents")
     buckets = contents.select("content", F.explode("bands").alias("band"))
     stars = materialize(buckets.groupBy("band").agg(F.min("content").alias("v"), F.count("*").alias("n")).where("n > 1"), "stars")
-    total = contents.agg(F.sum(F.size("bands"))).first()[0] or 0
-    shared = materialize(join_hot(buckets, stars, ["band"], total), "shared-buckets")
+    # one row a band on the right: adaptive execution splits the left rows of a band that very many hold
+    shared = materialize(buckets.join(stars.select("band", "v"), "band"), "shared-buckets")
     pairs = materialize(shared.where("content <> v").select(F.col("content").alias("u"), "v").distinct(), "pairs")
     some = contents.join(shared.select("content").distinct(), "content", "left_semi").select("of.doc_id", "of.h", "content")
-    texts = given.join(some, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("content", "text")
+    some = materialize(some, "wanted-texts")
+    release(contents, stars)
+    wanted = maybe_among(some, ["doc_id", "h"])
+    texts = given.where(wanted("doc_id", "h")).join(some, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("content", "text")
     sets = materialize(texts.mapInArrow(_sets, "content long, shingles array<long>"), "shingle-sets")
     star = materialize(_star_links(pairs, sets), "star-links")
     parts = connected_components(star).withColumnRenamed("node", "content")
-    members = shared.join(parts, "content", "left").select("band", "content", F.coalesce("component", "content").alias("component"))
+    # every text of a bucket has been compared with the least one
+    members = shared.where("content <> v").join(parts, "content", "left").select("band", "content", F.coalesce("component", "content").alias("component"))
     members = materialize(members, "bucket-members")
     cells = _cell_links(members, sets)
-    release(contents, stars, shared, pairs, sets, members)
+    release(shared, pairs, some, sets, members)
     return star.unionByName(cells)
 
 
@@ -236,7 +241,7 @@ def drop_near_copies(docs: DataFrame, k: int = 2) -> DataFrame:
     gone = materialize(rows.join(first, ["doc_id", "h"], "left_anti").select("doc_id", F.col("h").alias(h)), "copies")
     repeated = materialize(rows.where("n > 1").select("doc_id", F.col("h").alias(h)), "repeated-rows")
     release(rows)
-    kept = given.join(gone, ["doc_id", h], "left_anti")
-    single = kept.join(repeated, ["doc_id", h], "left_anti")
-    one = kept.join(repeated, ["doc_id", h], "left_semi").dropDuplicates(["doc_id", h])
-    return single.unionByName(one).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    # rows that the filter turns away stay and are single
+    touched = maybe_among(gone.unionByName(repeated), ["doc_id", h])("doc_id", h)
+    kept = given.where(touched).join(gone, ["doc_id", h], "left_anti").dropDuplicates(["doc_id", h])
+    return given.where(~touched).unionByName(kept).select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -7,7 +7,7 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from codonspark.llm import near_copies, simhash
+from codonspark.llm import common, near_copies, simhash
 
 SCHEMA = "doc_id long, text string, node long, fp string, component_id int"
 
@@ -183,3 +183,32 @@ def test_similar_links_lose_no_link_in_crowded_buckets(spark, monkeypatch, chunk
                 assert find(u) == find(v)
             far += bool(a and b and 0.5 < len(a & b) / len(a | b) < 0.8)
     assert far > 100
+
+
+def test_what_the_star_compared_goes_to_no_cell(spark, monkeypatch):
+    """Pairs a bit too far apart share buckets of two: the comparison with the least text is all there is to do."""
+    rnd = random.Random(3)
+    rows = []
+    for f in range(30):
+        w = [f"f{f}w{i}" for i in range(200)]
+        rows += [" ".join(w), " ".join("x" if rnd.random() < 0.05 else x for x in w)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    prints = spark.createDataFrame(docs.mapInArrow(near_copies._prints, near_copies._PRINT).collect(), near_copies._PRINT)
+    made, real = {}, near_copies.materialize
+
+    def counted(df, label):
+        made[label] = (table := real(df, label)).count()
+        return table
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    near_copies.similar_links(docs, prints).count()
+    assert made["pairs"] >= 20 and made["star-links"] < made["pairs"] - 10
+    assert made["open-members"] == 0
+
+
+def test_filter_of_keys_loses_no_key(spark):
+    keys = spark.range(0, 20_000, 2).select(F.col("id").alias("a"), F.xxhash64("id").alias("b"))
+    found = spark.range(20_000).where(common.maybe_among(keys, ["a", "b"])("id", F.xxhash64("id")))
+    got = {r["id"] for r in found.collect()}
+    assert got >= set(range(0, 20_000, 2)) and len(got) < 10_500
+    assert spark.range(100).where(common.maybe_among(keys.limit(0), ["a", "b"])("id", "id")).count() == 0
