@@ -44,6 +44,8 @@ MIN_ANSWER = 0.5
 BLOCK_ITEMS = 1000
 BLOCK_CELLS = 20_000_000
 STRETCH = 2
+#: Bits of the table of items and terms.
+MEMBER, ANSWER = 1, 2
 
 #: ASCII marks and controls part terms, as white space does.
 _PARTED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -208,7 +210,7 @@ def _model(hits: DataFrame, words: list[tuple[int, list[bytes]]], vocabulary: di
     own *= idf.astype(np.float32)
     basis, _ = truncated_svd(hits, own, idf, rank)
     latent = own @ basis
-    member = own > 0
+    member = (own > 0) * np.uint8(MEMBER)
     entries, seeds = [], []
     for i, w in words:
         places: dict[int, int] = {}
@@ -216,6 +218,7 @@ def _model(hits: DataFrame, words: list[tuple[int, list[bytes]]], vocabulary: di
             places[vocabulary[t]] = places.get(vocabulary[t], 0) | 1 << k
         rare = sorted(places, key=lambda t: (df[t], t))
         answer = rare[: max(3, len(rare) // 3)]
+        member[len(entries), answer] |= ANSWER
         if len(w) >= FEW_TERMS:
             least = math.ceil(min_answer * len(answer))
             in_order = sorted((vocabulary[t] for t in w), key=lambda t: (df[t], t))
@@ -265,17 +268,17 @@ def _candidates(half: np.ndarray, ids: np.ndarray, model: dict, min_cosine: floa
             if len(w):
                 begins = np.cumsum(size) - size
                 flat = np.arange(size.sum()) - np.repeat(begins - first_hit, size)
-                own = np.add.reduceat(model["member"][np.repeat(i, size), ids[flat]].astype(np.int64), begins)
+                own = np.add.reduceat((model["member"][np.repeat(i, size), ids[flat]] > 0).astype(np.int64), begins)
                 w, i = w[own >= need[i]], i[own >= need[i]]
             yield w, i
 
 
-def _within(model: dict, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """How many of the hits from ``begin`` to ``end`` (none empty) are terms of item ``i``."""
+def _within(model: dict, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, i: np.ndarray, kind: int = MEMBER) -> np.ndarray:
+    """How many of the hits from ``begin`` to ``end`` (none empty) are terms, or answer terms, of item ``i``."""
     size = end - begin
     first = np.cumsum(size) - size
     flat = np.arange(size.sum()) - np.repeat(first - begin, size)
-    return np.add.reduceat(model["member"][np.repeat(i, size), ids[flat]].astype(np.int64), first)
+    return np.add.reduceat((model["member"][np.repeat(i, size), ids[flat]] & kind > 0).astype(np.int64), first)
 
 
 def _near_seeds(half: np.ndarray, ids: np.ndarray, row: np.ndarray, model: dict, sizes: np.ndarray, min_lcs: float) -> Iterator[tuple[np.ndarray, ...]]:
@@ -311,7 +314,7 @@ def leaks_of(b: pa.RecordBatch, model: dict, min_cosine: float, min_lcs: float,
     if not len(half):
         return best
     # content terms stand a few words apart: twice the size on each side and the window between
-    sizes = np.array([e[1] for e in model["entries"]])
+    sizes, answers = np.array([e[1] for e in model["entries"]]), np.array([len(e[3]) for e in model["entries"]])
     latent = ((w, i, row[np.searchsorted(half, w)]) for w, i in _candidates(half, ids, model, min_cosine))
     for windows, items, rows in itertools.chain(latent, _near_seeds(half, ids, row, model, sizes, min_lcs)):
         for low in range(0, len(windows), 20_000):
@@ -323,7 +326,12 @@ def leaks_of(b: pa.RecordBatch, model: dict, min_cosine: float, min_lcs: float,
             own = np.zeros(len(w), np.int64)
             if len(held):
                 own[held] = _within(model, ids, begin[held], end[held], i[held])
-            for c in np.flatnonzero(own >= min_lcs * sizes[i]).tolist():
+            many = np.flatnonzero(own >= min_lcs * sizes[i])
+            # distinct answer terms are no more than their hits
+            many = many[own[many] > 0]
+            if len(many):
+                many = many[_within(model, ids, begin[many], end[many], i[many], ANSWER) >= min_answer * answers[i[many]]]
+            for c in many.tolist():
                 _, n, places, answer = model["entries"][i[c]]
                 r, at_ = int(own_row[c]), int(begin[c])
                 part = ids[at_ : end[c]].tolist()

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codonspark.llm import ann, decontamination, licenses
@@ -216,3 +217,30 @@ def test_replaced_terms_of_short_notices_are_found_wherever_they_are():
                 text = [b"x", b"y", *terms[:k], b"zz", *terms[k + 1 :], b"x"]
                 found = licenses.scan_terms(text, hashes, index, licenses.MIN_COVERAGE)
                 assert any(f[2] >= len(terms) - 1 for f in found), (name, k)
+
+
+def test_stretches_without_answer_terms_are_not_aligned_one_by_one(spark):
+    items = [(i, " ".join(f"i{i}t{k:02}" for k in range(12))) for i in range(20)]
+    rnd = random.Random(4)
+    part = [" ".join(w if rnd.random() < 0.5 else f"{w} x{rnd.randrange(50)}" for w in items[d % 20][1].split()[:9]) for d in range(60)]
+    docs = spark.createDataFrame([(d, t, d) for d, t in enumerate([*part, f"so {items[3][1]} ends"])], "doc_id long, text string, h long")
+    words = decontamination.content_terms(items, frozenset())
+    vocabulary = {t: k for k, t in enumerate(sorted({t for _, w in words for t in w}))}
+    hits = docs.mapInArrow(decontamination._hits(vocabulary), decontamination._HITS).cache()
+    model = decontamination._model(hits, words, vocabulary, 8, decontamination.MIN_LCS, decontamination.MIN_ANSWER)
+    looks = []
+
+    class Counted(frozenset):
+        def intersection(self, other):
+            looks.append(1)
+            return frozenset.intersection(self, other)
+
+    model["entries"] = [(*e[:3], Counted(e[3])) for e in model["entries"]]
+
+    def found(low, high):
+        rows = pa.RecordBatch.from_pylist([r.asDict() for r in hits.where(f"doc_id between {low} and {high}").orderBy("doc_id").collect()], schema)
+        return decontamination.leaks_of(rows, model, -1.0, decontamination.MIN_LCS, decontamination.MIN_ANSWER)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("at", pa.binary()), ("term", pa.binary())])
+    assert not found(0, 59) and not looks
+    assert {k: v[0] for k, v in found(60, 60).items()} == {(0, 3): 1.0} and looks
