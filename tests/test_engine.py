@@ -302,3 +302,28 @@ def test_command_line_over_shards(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["codecs", str(tmp_path / "one"), str(tmp_path / "trials")]) == 0
     assert len(capsys.readouterr().out.splitlines()) == 13
     assert cli.main(["manifest", str(tmp_path / "n.manifest"), str(tmp_path / "nowhere")]) == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_the_view_are_made_without_interpreted_functions(spark):
+    from codonspark.driver_view import alignment_lines
+
+    assert "lambda" not in plan_of(alignment_lines(spark, "/root/testdata/sf0.001"))
+
+
+def test_spaces_and_signs_in_contigs_are_no_bases(spark):
+    """A codon `` AC`` or ``+AC`` isn't AAC."""
+    bad = [row(nt=f"AAG{c}ACAAAGGT", qseq="NKG") for c in " +-9"] + [row(nt="AAGAC AAAGGT", qseq="NKG")]
+    assert {(p, c) for _, p, c, *_ in dump(spark, bad)} == {(1, "AAA"), (2, "GGT")}
+
+
+def test_common_cigars_are_cut_as_all_are(spark):
+    texts = ["3M", "03M", "2M1I4M", "2M1D4M", "4S2M", "1H2M3D2M", "2M9D1M", "0M3M", "2M0I3M", "2M1X3M", "M", "", "12", "2M1I4M7S", "1000000000M"]
+    df = spark.createDataFrame([(i, t, n) for i, t in enumerate(texts) for n in (0, 1, 3, 9)], "i int, c string, n long")
+    got = cigar.with_segments(df.withColumn("whole", cigar.match_segments(F.col("c"), F.col("n"))), ["c", "n", "whole"], F.col("c"), F.col("n")).collect()
+    for r in got:
+        assert [tuple(s) for s in r["segs"]] == [tuple(s) for s in r["whole"]], (r["c"], r["n"])
+    assert len(got) == 4 * len(texts)
