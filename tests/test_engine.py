@@ -327,3 +327,20 @@ def test_common_cigars_are_cut_as_all_are(spark):
     for r in got:
         assert [tuple(s) for s in r["segs"]] == [tuple(s) for s in r["whole"]], (r["c"], r["n"])
     assert len(got) == 4 * len(texts)
+
+
+def test_generated_code_of_observations_is_compiled(spark):
+    """The JVM leaves methods of 8,000 bytes and more to its interpreter."""
+    import re
+
+    from codonspark import registry
+
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for f in (registry._lines, registry._valid, registry._obs):
+            text = spark._jvm.PythonSQLUtils.explainString(f(spark, "/root/testdata/sf0.001")._jdf.queryExecution(), "codegen")
+            sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:\s*(\d+)", text)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
